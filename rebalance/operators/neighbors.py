@@ -181,19 +181,21 @@ def _cut_into_cells(corpus: DataFrame, n: int, width: int, cells: int):
 
         return points.withColumn("cell", cell_of("vec"))
 
-    return stage(assign(corpus), "cells"), assign
+    # rows of a cell are written together; AQE splits or joins uneven partitions
+    return stage(assign(corpus).hint("rebalance", "cell"), "cells"), assign
 
 
 def _boxes(corpus: DataFrame, width: int):
-    """Row count and bounding box of every cell, one small row each."""
-    edges = [F.array(*[f(F.col("vec")[j]) for j in range(width)]) for f in (F.min, F.max)]
+    """Row count and bounding box of every cell; no more than ``TREE_VALUES`` numbers."""
     got = (
-        corpus.groupBy("cell")
-        .agg(F.count(F.lit(1)).alias("n"), edges[0].alias("lo"), edges[1].alias("hi"))
-        .orderBy("cell")
+        corpus.select("cell", F.posexplode("vec").alias("pos", "item"))
+        .groupBy("cell", "pos")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("lo"), F.max("item").alias("hi"))
         .toArrow()
+        .sort_by([("cell", "ascending"), ("pos", "ascending")])
     )
-    return got["cell"].to_numpy(), got["n"].to_numpy(), B.matrix(got["lo"]), B.matrix(got["hi"])
+    by_cell = {c: got[c].to_numpy().reshape(-1, width) for c in ("cell", "n", "lo", "hi")}
+    return by_cell["cell"][:, 0], by_cell["n"][:, 0], by_cell["lo"], by_cell["hi"]
 
 
 def _chunk_counts(queries: DataFrame) -> DataFrame:

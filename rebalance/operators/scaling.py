@@ -18,7 +18,6 @@ class Features:
     """The features of a table: numeric columns, or one vector column."""
 
     columns: tuple[str, ...]
-    width: int
     is_vector: bool
 
     @staticmethod
@@ -26,15 +25,11 @@ class Features:
         columns = (features,) if isinstance(features, str) else tuple(features)
         if not columns:
             raise ValueError("no feature columns")
-        if len(columns) > 1 or df.schema[columns[0]].dataType.typeName() != "array":
-            return Features(columns, len(columns), False)
-        first = df.select(F.size(columns[0]).alias("n")).where("n > 0").first()
-        return Features(columns, first.n if first else 0, True)
+        is_vector = len(columns) == 1 and df.schema[columns[0]].dataType.typeName() == "array"
+        return Features(columns, is_vector)
 
     @property
     def items(self) -> list[Column]:
-        if self.is_vector:
-            return [F.col(self.columns[0])[j].cast("double") for j in range(self.width)]
         return [F.col(c).cast("double") for c in self.columns]
 
     @property
@@ -43,18 +38,9 @@ class Features:
             return F.col(self.columns[0]).cast("array<double>")
         return F.array(*self.items)
 
-    @property
-    def names(self) -> list[str]:
-        if self.is_vector:
-            return [f"{self.columns[0]}_{j}" for j in range(self.width)]
-        return list(self.columns)
-
     @property
     def unusable(self) -> Column:
-        """True for rows with a missing, NaN or infinite feature."""
-        if self.is_vector:
-            c = F.col(self.columns[0])
-            return c.isNull() | (F.size(c) != self.width) | F.exists(c, not_finite)
+        """True for rows with a missing, NaN or infinite feature in a named column."""
         bad = not_finite(self.items[0])
         for item in self.items[1:]:
             bad = bad | not_finite(item)
@@ -69,24 +55,71 @@ class Ranges:
     maxs: tuple[float, ...]
 
 
-def range_aggregates(features: Features) -> list[Column]:
-    items = features.items
+@dataclass(frozen=True)
+class Summary:
+    """What one pass over a table tells: rows, minority rows, unusable rows, ranges."""
+
+    num_all: int
+    num_pos: int
+    num_bad: int
+    ranges: Ranges
+
+
+def _ends(f: Features) -> list[Column]:
     return [
-        *[F.min(c).alias(f"min_{j}") for j, c in enumerate(items)],
-        *[F.max(c).alias(f"max_{j}") for j, c in enumerate(items)],
+        fn(c).alias(f"{name}_{j}") for j, c in enumerate(f.items) for name, fn in (("min", F.min), ("max", F.max))
     ]
 
 
-def ranges_from(row, features: Features) -> Ranges:
-    return Ranges(
-        tuple(row[f"min_{j}"] for j in range(features.width)),
-        tuple(row[f"max_{j}"] for j in range(features.width)),
+def _items(df: DataFrame, f: Features, *keep: Column) -> DataFrame:
+    """A vector column as one row per item; a missing vector has a null position."""
+    return df.select(*keep, F.posexplode_outer(f.vector).alias("pos", "item"))
+
+
+def summarize(df: DataFrame, f: Features, positive: Column) -> Summary:
+    """Class counts, ranges and the number of unusable values, in one pass."""
+    if not f.is_vector:
+        row = df.agg(
+            F.count(F.lit(1)).alias("num_all"),
+            F.count_if(positive).alias("num_pos"),
+            F.count_if(f.unusable).alias("num_bad"),
+            *_ends(f),
+        ).first()
+        ends = [tuple(row[f"{name}_{j}"] for j in range(len(f.columns))) for name in ("min", "max")]
+        return Summary(row.num_all, row.num_pos, row.num_bad, Ranges(*ends))
+    # partial sums per task: one row per position
+    rows = (
+        _items(df, f, positive.alias("positive"))
+        .groupBy("pos")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if("positive").alias("n_pos"),
+            F.count_if(not_finite(F.col("item"))).alias("bad"),
+            F.min("item").alias("min"),
+            F.max("item").alias("max"),
+        )
+        .collect()
+    )
+    missing = [r for r in rows if r.pos is None]
+    rows = sorted((r for r in rows if r.pos is not None), key=lambda r: r.pos)
+    firsts = [*rows[:1], *missing]
+    uneven = sum(abs(r.n - rows[0].n) for r in rows)
+    return Summary(
+        sum(r.n for r in firsts),
+        sum(r.n_pos for r in firsts),
+        sum(r.bad for r in rows) + sum(r.n for r in missing) + uneven,
+        Ranges(tuple(r.min for r in rows), tuple(r.max for r in rows)),
     )
 
 
 def minmax_fit(df: DataFrame, features: str | Sequence[str]) -> DataFrame:
     """(col_idx, col_name, min, max) over all rows, in one pass."""
     f = Features.of(df, features)
+    if f.is_vector:
+        by_position = _items(df, f).where(F.col("pos").isNotNull()).groupBy(F.col("pos").alias("col_idx"))
+        return by_position.agg(F.min("item").alias("min"), F.max("item").alias("max")).select(
+            "col_idx", F.concat(F.lit(f"{f.columns[0]}_"), F.col("col_idx")).alias("col_name"), "min", "max"
+        )
     rows = [
         F.struct(
             F.lit(j).alias("col_idx"),
@@ -94,15 +127,15 @@ def minmax_fit(df: DataFrame, features: str | Sequence[str]) -> DataFrame:
             F.col(f"min_{j}").alias("min"),
             F.col(f"max_{j}").alias("max"),
         )
-        for j, name in enumerate(f.names)
+        for j, name in enumerate(f.columns)
     ]
-    return df.agg(*range_aggregates(f)).select(F.inline(F.array(*rows)))
+    return df.agg(*_ends(f)).select(F.inline(F.array(*rows)))
 
 
 def collect_ranges(df: DataFrame, features: str | Sequence[str]) -> Ranges:
     """The fitted ranges as a value: two numbers per feature."""
-    f = Features.of(df, features)
-    return ranges_from(df.agg(*range_aggregates(f)).first(), f)
+    rows = sorted(minmax_fit(df, features).collect(), key=lambda r: r.col_idx)
+    return Ranges(tuple(r["min"] for r in rows), tuple(r["max"] for r in rows))
 
 
 def scaled(x: Column, lo: float | None, hi: float | None, constant: float | None = CONSTANT) -> Column:
@@ -115,20 +148,22 @@ def unscaled(x: Column, lo: float, hi: float) -> Column:
     return x * (F.lit(hi) - F.lit(lo)) + F.lit(lo)
 
 
-def scaled_vector(features: Features, ranges: Ranges) -> Column:
-    return F.array(*[scaled(x, lo, hi) for x, lo, hi in zip(features.items, ranges.mins, ranges.maxs, strict=True)])
+def scaled_vector(f: Features, ranges: Ranges, constant: float | None = CONSTANT) -> Column:
+    if not f.is_vector:
+        return F.array(*[scaled(x, lo, hi, constant) for x, lo, hi in zip(f.items, ranges.mins, ranges.maxs, strict=True)])
+    from_low = F.zip_with(f.vector, double_array(ranges.mins), lambda x, lo: x - lo)
+    return F.zip_with(
+        from_low, _spans(ranges), lambda x, s: F.when(s != 0, x / s).when(x.isNotNull(), F.lit(constant).cast("double"))
+    )
 
 
-def unscaled_vector(v: Column, ranges: Ranges) -> Column:
-    lows = double_array(ranges.mins)
-    spans = double_array([hi - lo for lo, hi in zip(ranges.mins, ranges.maxs, strict=True)])
-    return F.zip_with(F.zip_with(v, spans, lambda x, s: x * s), lows, lambda x, lo: x + lo)
+def _spans(ranges: Ranges) -> Column:
+    return double_array([hi - lo for lo, hi in zip(ranges.mins, ranges.maxs, strict=True)])
 
 
-def _replaced(df: DataFrame, f: Features, vector: Column, items: list[Column]) -> DataFrame:
-    if f.is_vector:
-        return df.withColumn(f.columns[0], vector)
-    return df.withColumns(dict(zip(f.columns, items, strict=True)))
+def unscaled_vector(v: Column, ranges: Ranges) -> Column:
+    stretched = F.zip_with(v, _spans(ranges), lambda x, s: x * s)
+    return F.zip_with(stretched, double_array(ranges.mins), lambda x, lo: x + lo)
 
 
 def minmax_transform(
@@ -142,12 +177,16 @@ def minmax_transform(
     A feature without spread becomes ``constant``; None makes it null.
     """
     f = Features.of(df, features)
+    if f.is_vector:
+        return df.withColumn(f.columns[0], scaled_vector(f, ranges, constant))
     items = [scaled(x, lo, hi, constant) for x, lo, hi in zip(f.items, ranges.mins, ranges.maxs, strict=True)]
-    return _replaced(df, f, F.array(*items), items)
+    return df.withColumns(dict(zip(f.columns, items, strict=True)))
 
 
 def minmax_inverse(df: DataFrame, features: str | Sequence[str], ranges: Ranges) -> DataFrame:
     """Scaled features back in their original units."""
     f = Features.of(df, features)
+    if f.is_vector:
+        return df.withColumn(f.columns[0], unscaled_vector(f.vector, ranges))
     items = [unscaled(x, lo, hi) for x, lo, hi in zip(f.items, ranges.mins, ranges.maxs, strict=True)]
-    return _replaced(df, f, F.array(*items), items)
+    return df.withColumns(dict(zip(f.columns, items, strict=True)))

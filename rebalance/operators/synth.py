@@ -15,15 +15,13 @@ from rebalance.operators.profile import (
     budget,
     check_percentage,
     check_plan,
-    class_counts,
     is_minority,
 )
 from rebalance.operators.ranking import with_row_id
 from rebalance.operators.scaling import (
     Features,
-    range_aggregates,
-    ranges_from,
     scaled_vector,
+    summarize,
     unscaled,
     unscaled_vector,
 )
@@ -154,14 +152,12 @@ def smote(
         raise ValueError("blocks must be at least 1")
     f = Features.of(df, features)
     label_value = F.lit(minority).cast(df.schema[label].dataType)
-    # counts, ranges and the check of all features in one pass over the table
-    seen = df.agg(
-        *class_counts(label, minority), F.count_if(f.unusable).alias("bad"), *range_aggregates(f)
-    )
-    plan = check_plan(budget(seen, over_pct, k, *seen.columns[2:]).first())
-    if plan.bad:
-        raise ValueError(f"{plan.bad} rows have a null, NaN or infinite feature")
-    ranges = ranges_from(plan, f)
+    seen = summarize(df, f, is_minority(label, minority))
+    numbers = df.sparkSession.sql(f"select {seen.num_all}L as num_all, {seen.num_pos}L as num_pos")
+    plan = check_plan(budget(numbers, over_pct, k).first())
+    if seen.num_bad:
+        raise ValueError("features must not be null, NaN or infinite, and vectors must be of one length")
+    ranges = seen.ranges
 
     key = F.col(id_col).cast("bigint").alias("id") if id_col else None
     rows = df.where(is_minority(label, minority)).select(
