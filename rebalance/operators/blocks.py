@@ -18,7 +18,9 @@ from pyspark import cloudpickle
 # Workers get these helpers with the task, so they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-TILE = 1 << 19  # distances held at a time
+TILE = 1 << 16  # distances held at a time
+LEAF_ROWS = 256  # candidates that are compared or skipped together
+WIDE = 16  # vectors of this length are screened by a matrix product
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -120,38 +122,127 @@ def box_gap(qlo, qhi, lo, hi, metric: str) -> np.ndarray:
     return _distances(gap_of, lo.shape[1], (len(qlo), len(lo)), metric)
 
 
-def nearest(q, c, c_ids, k: int, metric: str, exclude_zero: bool, bound=None):
-    """The ``k`` nearest candidates of every query, ordered by (distance, id).
+def _first_k(rows, cols, dist, c_ids, k: int):
+    """Sort found pairs by (query, distance, id) and keep k per query."""
+    order = np.lexsort((c_ids[cols], dist, rows))
+    rows, cols, dist = rows[order], cols[order], dist[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], cols[keep], dist[keep]
 
-    Returns (query row, candidate row, distance), sorted by query and rank.
-    ``bound`` leaves out candidates farther away than that, per query.
+
+def _kth_smallest(values: np.ndarray, k: int) -> np.ndarray:
+    if values.shape[1] <= k:
+        return np.full(len(values), np.finfo(float).max)
+    return np.partition(values, k - 1, axis=1)[:, k - 1]
+
+
+def _all_pairs(part, columns, k, metric, exclude_zero, bound):
+    """Pairs of a tile that can be among the k nearest, by their distance."""
+    dims, n = columns.shape
+    dist = _distances(lambda j: part[:, j, None] - columns[j], dims, (len(part), n), metric)
+    if exclude_zero:
+        dist[dist <= 0.0] = np.inf
+    limit = np.minimum(_kth_smallest(dist, k), bound)
+    rows, cols = np.nonzero(dist <= limit[:, None])
+    return rows, cols, dist[rows, cols]
+
+
+def _screened_pairs(part, columns, k, exclude_zero, bound):
+    """The same for wide vectors: a matrix product screens the pairs.
+
+    Its squared distances are off by no more than ``slack``. What may belong to
+    the k nearest is then computed as everywhere else.
     """
+    dims = len(columns)
+    p2, c2 = (part * part).sum(axis=1), (columns * columns).sum(axis=0)
+    slack = 16 * (dims + 8) * np.finfo(float).eps * (p2 + c2.max())[:, None]
+    rough = p2[:, None] + c2 - 2.0 * (part @ columns)
+    most = rough + slack
+    if exclude_zero:
+        most[rough <= slack] = np.inf  # may be zero: must not count as a neighbour
+    with np.errstate(over="ignore"):
+        limit = np.minimum(_kth_smallest(most, k), bound * bound * (1 + 1e-12))
+    rows, cols = np.nonzero(rough - slack <= limit[:, None])
+    dist = _distances(
+        lambda j: part[rows, j][None] - columns[j, cols][None], dims, (1, len(rows)), "euclidean"
+    )[0]
+    good = (dist <= bound[rows]) & ((dist > 0.0) if exclude_zero else True)
+    return rows[good], cols[good], dist[good]
+
+
+def _compare(q, c, c_ids, k, metric, exclude_zero, bound):
+    """Compare all queries with all candidates, a tile at a time."""
     columns = np.ascontiguousarray(c.T)
+    screen = (
+        metric == "euclidean"
+        and c.shape[1] >= WIDE
+        and max(np.abs(q).max(initial=0.0), np.abs(c).max(initial=0.0)) < 1e100
+    )
     out = []
-    step = max(1, TILE // max(1, len(c)))
-    for start in range(0, len(q) if len(c) else 0, step):  # a tile of distances
-        part = q[start : start + step]
-        dist = _distances(
-            lambda j: part[:, j, None] - columns[j], c.shape[1], (len(part), len(c)), metric
-        )
-        if exclude_zero:
-            dist[dist <= 0.0] = np.inf
-        limit = np.full(len(part), np.finfo(float).max)
-        if len(c) > k:
-            limit = np.minimum(limit, np.partition(dist, k - 1, axis=1)[:, k - 1])
-        if bound is not None:
-            limit = np.minimum(limit, bound[start : start + step])
-        rows, cols = np.nonzero(dist <= limit[:, None])
-        found = dist[rows, cols]
-        order = np.lexsort((c_ids[cols], found, rows))
-        rows, cols, found = rows[order], cols[order], found[order]
-        first = np.searchsorted(rows, rows, side="left")
-        keep = np.arange(len(rows)) - first < k
-        out.append((rows[keep] + start, cols[keep], found[keep]))
-    if not out:
+    step = max(1, TILE // len(c))
+    for start in range(0, len(q), step):
+        part, most = q[start : start + step], bound[start : start + step]
+        if screen:
+            rows, cols, dist = _screened_pairs(part, columns, k, exclude_zero, most)
+        else:
+            rows, cols, dist = _all_pairs(part, columns, k, metric, exclude_zero, most)
+        rows, cols, dist = _first_k(rows, cols, dist, c_ids, k)
+        out.append((rows + start, cols, dist))
+    return _joined(out)
+
+
+def _joined(parts):
+    if not parts:
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(0)
-    return tuple(np.concatenate(parts) for parts in zip(*out, strict=True))
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
+def nearest(q, c, c_ids, k: int, metric: str, exclude_zero: bool, bound=None):
+    """The ``k`` nearest candidates of every query, ordered by (distance, id).
+
+    Returns (query row, candidate row, distance), sorted by query and rank.
+    ``bound`` leaves out candidates farther away than that, per query. A large
+    block is cut into leaves, and a query skips the leaves out of its reach.
+    """
+    far = np.full(len(q), np.finfo(float).max)
+    limit = far if bound is None else np.minimum(bound, far)
+    if not len(q) or not len(c):
+        return _joined([])
+    if len(c) <= 2 * LEAF_ROWS:
+        return _compare(q, c, c_ids, k, metric, exclude_zero, limit)
+    tree = split_tree(c, len(c) // LEAF_ROWS)
+    leaf = leaf_of(tree, c)
+    order = np.argsort(leaf, kind="stable")
+    starts = np.flatnonzero(np.diff(leaf[order], prepend=-1))
+    members = dict(zip(leaf[order][starts], np.split(order, starts[1:]), strict=True))
+    numbers = np.array(list(members))
+    lo, hi = np.minimum.reduceat(c[order], starts), np.maximum.reduceat(c[order], starts)
+
+    def visit(rows, leaves, limit):
+        out = []
+        by_leaf = np.argsort(leaves, kind="stable")
+        rows, leaves = rows[by_leaf], leaves[by_leaf]
+        cuts = np.flatnonzero(np.diff(leaves, prepend=-1))
+        for some, number in zip(np.split(rows, cuts[1:]), leaves[cuts], strict=True):
+            at = members[number]
+            r, i, d = _compare(q[some], c[at], c_ids[at], k, metric, exclude_zero, limit[some])
+            out.append((some[r], at[i], d))
+        return _joined(out)
+
+    home, found = np.full(len(q), -1), []
+    if bound is None:
+        home = leaf_of(tree, q)
+        rows, cols, dist = visit(np.arange(len(q)), home, limit)
+        rows, cols, dist = _first_k(rows, cols, dist, c_ids, k)
+        limit = np.minimum(limit, kth_distance(len(q), rows, dist, k))
+        found.append((rows, cols, dist))
+    reach = [(r, numbers[i]) for r, i in cells_in_reach(q, limit, home, lo, hi, metric)]
+    rows, leaves = (np.concatenate(p) for p in zip(*reach, strict=True))
+    away = leaves != home[rows]
+    if away.any():
+        found.append(visit(rows[away], leaves[away], limit))
+    return _first_k(*_joined(found), c_ids, k)
 
 
 def neighbor_lists(n_queries: int, rows, cols, dist, c, c_ids, with_vectors: bool) -> pa.ListArray:

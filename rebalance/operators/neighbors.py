@@ -29,7 +29,7 @@ from rebalance.staging import stage, stage_observed
 
 BLOCK_VALUES = 1 << 22  # doubles in one block of candidates (32 MiB)
 BLOCK_ROWS = 32768
-QUERY_ROWS = 2048  # queries that meet a block in one task
+QUERY_ROWS = 8192  # queries that meet a block in one task
 MIN_QUERY_ROWS = 128  # fewer are not worth a task of their own
 TREE_VALUES = 1 << 21  # doubles in the cell boxes and in the sample they come from
 HOT_ROWS = 100_000  # below this many rows no vector is worth salting
@@ -121,7 +121,7 @@ def _meet(
     q_cols = [*keys, "id", "vec", *(["bound"] if bounded else [])]
     spark = queries.sparkSession
     wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    partitions = min(2 * n_groups, 8 * wanted)
+    partitions = min(n_groups, 2 * wanted)
     k, metric, exclude_zero, with_vectors = search.k, search.metric, search.exclude_zero, search.with_vectors
 
     def compare(q: pa.Table, c: pa.Table) -> pa.Table:
@@ -217,7 +217,7 @@ def _search_lists(queries: DataFrame, n_queries: int, corpus: DataFrame, n: int,
     if cells == 1 and n <= block_rows:
         chunks = max(
             math.ceil(n_queries / QUERY_ROWS),
-            min(spark.sparkContext.defaultParallelism, math.ceil(n_queries / MIN_QUERY_ROWS)),
+            min(2 * spark.sparkContext.defaultParallelism, math.ceil(n_queries / MIN_QUERY_ROWS)),
         )
         one = [F.lit(0).alias("cell"), F.lit(0).alias("sub"), "id", "vec"]
         return _meet(queries.select(*one), corpus.select(*one), chunks, chunks, search)
@@ -277,16 +277,18 @@ def _search_lists(queries: DataFrame, n_queries: int, corpus: DataFrame, n: int,
         return met.select("id", "vec", "nbrs")
     groups = n_blocks + math.ceil(seen["n"] / QUERY_ROWS)
     more = _meet(visits, corpus, groups, _chunk_counts(visits), search)
-    found = met.select("id", F.explode("nbrs").alias("nbr")).unionByName(
-        more.select("id", F.explode("nbrs").alias("nbr"))
-    )
-    # k entries per query are left when they are put into a list
-    best = (
-        topk_per_key(found, "id", ["nbr.dist", "nbr.nbr_id"], search.k)
+    # what the visits add, k entries per query at most; queries that need none stay put
+    added = (
+        topk_per_key(
+            more.select("id", F.explode("nbrs").alias("nbr")), "id", ["nbr.dist", "nbr.nbr_id"], search.k
+        )
         .groupBy("id")
-        .agg(F.sort_array(F.collect_list("nbr")).alias("nbrs"))
+        .agg(F.collect_list("nbr").alias("added"))
+    )
+    best = F.slice(F.sort_array(F.concat("nbrs", "added")), 1, search.k)
+    return met.join(added, "id", "left").select(
+        "id", "vec", F.when(F.col("added").isNull(), F.col("nbrs")).otherwise(best).alias("nbrs")
     )
-    return met.select("id", "vec").join(best, "id", "left")
 
 
 def _attach(rows: DataFrame, n_rows: int, lists: DataFrame, width: int, k: int) -> DataFrame:
@@ -347,6 +349,8 @@ def neighbor_lists(
     lists = _search_lists(
         firsts.select("id", "vec"), n_firsts, points.select("id", "vec"), seen["n"], width, blocks, search
     )
+    if n_rows == n_firsts:
+        return lists.select("id", "vec", "nbrs")  # no vector occurs twice
     return _attach(queries, n_rows, lists, width, k)
 
 
