@@ -518,6 +518,11 @@ def knn_blocks(spark, sf):
     return neighbors.knn_self(rows, blocks=16)
 
 
+@_query(_self_sql(LI, "id", "rare = 1", LI_F))
+def knn_self_rare(spark, sf):
+    return neighbors.knn_self(_scaled_minority(li(spark, sf), "id", "rare", 1, LI_F))
+
+
 @_query(_self_sql(LI, "id", "rare = 1", LI_F))
 def knn_blocks_rare(spark, sf):
     return neighbors.knn_self(_scaled_minority(li(spark, sf), "id", "rare", 1, LI_F), blocks=4)

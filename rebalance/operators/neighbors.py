@@ -60,6 +60,11 @@ class _Search:
     exclude_zero: bool
     with_vectors: bool
 
+    def query_rows(self, width: int) -> int:
+        """Queries per task, so that neither they nor their lists outgrow a block."""
+        values = width * (self.k if self.with_vectors else 1)
+        return max(64, min(QUERY_ROWS, BLOCK_VALUES // values))
+
     @property
     def list_type(self) -> str:
         vec = ", nbr_vec: array<double>" if self.with_vectors else ""
@@ -109,7 +114,7 @@ def _meet(
     """
     keys = ["cell", "sub", "chunk"]
     if isinstance(chunks, DataFrame):
-        # one row per block of the corpus, counted by the caller
+        # one row per block: no more than TREE_VALUES cells and n / block_rows blocks besides
         queries = queries.join(F.broadcast(chunks), ["cell", "sub"])
         corpus = corpus.join(F.broadcast(chunks), ["cell", "sub"])
         n = F.col("chunks")
@@ -198,9 +203,9 @@ def _boxes(corpus: DataFrame, width: int):
     return by_cell["cell"][:, 0], by_cell["n"][:, 0], by_cell["lo"], by_cell["hi"]
 
 
-def _chunk_counts(queries: DataFrame) -> DataFrame:
+def _chunk_counts(queries: DataFrame, query_rows: int) -> DataFrame:
     return queries.groupBy("cell", "sub").agg(
-        F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("chunks")
+        F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("chunks")
     )
 
 
@@ -209,14 +214,17 @@ def _search_lists(queries: DataFrame, n_queries: int, corpus: DataFrame, n: int,
     block_rows = max(1, min(BLOCK_ROWS, BLOCK_VALUES // width))
     if blocks is None:
         cells = max(1, min(math.ceil(n / block_rows), TREE_VALUES // width))
-        cells = 4 * cells if cells > 1 else 1
+        if cells > 1 and width <= 16:
+            # small cells prune well where dimensions are few
+            cells = min(4 * cells, TREE_VALUES // width)
     else:
         cells = min(blocks, max(1, TREE_VALUES // width), n)
     spark = queries.sparkSession
+    query_rows = search.query_rows(width)
 
     if cells == 1 and n <= block_rows:
         chunks = max(
-            math.ceil(n_queries / QUERY_ROWS),
+            math.ceil(n_queries / query_rows),
             min(2 * spark.sparkContext.defaultParallelism, math.ceil(n_queries / MIN_QUERY_ROWS)),
         )
         one = [F.lit(0).alias("cell"), F.lit(0).alias("sub"), "id", "vec"]
@@ -238,9 +246,8 @@ def _search_lists(queries: DataFrame, n_queries: int, corpus: DataFrame, n: int,
     queries = _with_blocks(queries, subs)
 
     # first meeting: the block a query falls into
-    met = stage(
-        _meet(queries, corpus, n_blocks + math.ceil(n_queries / QUERY_ROWS), _chunk_counts(queries), search), "met"
-    )
+    groups = n_blocks + math.ceil(n_queries / query_rows)
+    met = stage(_meet(queries, corpus, groups, _chunk_counts(queries, query_rows), search), "met")
     metric = search.metric
 
     def route(batches):
@@ -275,8 +282,8 @@ def _search_lists(queries: DataFrame, n_queries: int, corpus: DataFrame, n: int,
     )
     if not seen["n"]:
         return met.select("id", "vec", "nbrs")
-    groups = n_blocks + math.ceil(seen["n"] / QUERY_ROWS)
-    more = _meet(visits, corpus, groups, _chunk_counts(visits), search)
+    groups = n_blocks + math.ceil(seen["n"] / query_rows)
+    more = _meet(visits, corpus, groups, _chunk_counts(visits, query_rows), search)
     # what the visits add, k entries per query at most; queries that need none stay put
     added = (
         topk_per_key(

@@ -31,7 +31,7 @@ def is_minority(label: str, minority: Any) -> Column:
     return F.col(label) == F.lit(minority)
 
 
-def _class_counts(label: str, minority: Any) -> list[Column]:
+def class_counts(label: str, minority: Any) -> list[Column]:
     """Aggregates for the number of rows and of minority rows, in one pass."""
     return [
         F.count(F.lit(1)).alias("num_all"),
@@ -75,7 +75,7 @@ def sampling_plan(
     minority row is copied ``base_copies`` times, ``extra_seeds`` of them once more.
     """
     check_percentage(over_pct)
-    return budget(df.agg(*_class_counts(label, minority)), over_pct, k)
+    return budget(df.agg(*class_counts(label, minority)), over_pct, k)
 
 
 def check_plan(plan: Row) -> Row:
@@ -87,7 +87,12 @@ def check_plan(plan: Row) -> Row:
 
 def balance_report(df: DataFrame, label: str, minority: Any) -> DataFrame:
     """Final counts, and the minority as a percentage of all other rows."""
-    return df.agg(*_class_counts(label, minority)).select(
+    return report(df.agg(*class_counts(label, minority)))
+
+
+def report(counts: DataFrame) -> DataFrame:
+    """The report for a one-row frame with ``num_all`` and ``num_pos``."""
+    return counts.select(
         "num_pos",
         F.expr("num_all - num_pos").alias("num_neg"),
         F.expr("num_pos * 100 div nullif(num_all - num_pos, 0)").alias("pos_pct"),

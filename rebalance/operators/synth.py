@@ -28,6 +28,8 @@ from rebalance.operators.scaling import (
 from rebalance.staging import stage
 
 SEED = 1286082570  # fixed value: the default seed
+RUN = 10_000  # copies of one seed that are made in a row
+ROWS_PER_TASK = 1_000_000
 QUOTA_SHIFT = 65536  # quota draws fall into 2^32 / 65536 histogram buckets
 
 
@@ -101,6 +103,23 @@ def pick_neighbor(lists: DataFrame, seed: int = SEED, nbrs: str = "nbrs") -> Dat
     )
 
 
+def _copied(counted: DataFrame, num_syn: int) -> DataFrame:
+    """One row per copy.
+
+    A small minority may be copied very often. Then its rows are first dealt out
+    in runs of ``RUN`` copies, so that no task has to make far more than
+    ``ROWS_PER_TASK`` rows.
+    """
+    one, run = F.lit(1).cast("bigint"), F.lit(RUN).cast("bigint")
+    wanted = counted.where(F.col("copies") > 0)
+    if num_syn <= ROWS_PER_TASK:
+        return wanted.withColumn("copy", F.explode(F.sequence(one, "copies")))
+    runs = wanted.withColumn("first", F.explode(F.sequence(one, F.col("copies"), run)))
+    dealt = runs.repartition(-(-num_syn // ROWS_PER_TASK), "id", "first")
+    last = F.least(F.col("first") + run - 1, F.col("copies"))
+    return dealt.withColumn("copy", F.explode(F.sequence("first", last))).drop("first")
+
+
 def _as_rows(drawn: DataFrame, f: Features, ranges, label: str, label_value: Column) -> DataFrame:
     """Interpolate, put back into original units, and name the columns."""
     other = F.coalesce("nbr.nbr_vec", "vec")
@@ -175,7 +194,5 @@ def smote(
     seeds = stage(rows, "seeds") if id_col else with_row_id(rows)
     lists = neighbor_lists(seeds, None, k, metric, blocks=blocks, with_vectors=True)
     counted = lists.withColumn("copies", _copies(seeds, plan.num_syn, plan.num_pos, seed, "id"))
-    copies = counted.where(F.col("copies") > 0).withColumn(
-        "copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))
-    )
+    copies = _copied(counted, plan.num_syn)
     return _as_rows(pick_neighbor(copies, seed), f, ranges, label, label_value)

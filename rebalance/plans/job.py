@@ -7,14 +7,14 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from rebalance.operators.encode import encode_labeled, explode_features
-from rebalance.operators.profile import balance_report
+from rebalance.operators.profile import class_counts, report
 from rebalance.operators.synth import SEED
 from rebalance.plans.balance import balance
 from rebalance.sources.keel import read_keel, read_keel_header, write_balanced
-from rebalance.staging import stage
+from rebalance.staging import drop_staged
 
 
 def run(
@@ -33,28 +33,28 @@ def run(
     format: str = "text",
     on_error: str = "fail",
 ) -> DataFrame:
-    """Write the balanced data set to ``output``; returns the final class counts."""
+    """Write the balanced data set to ``output``; returns the final class counts.
+
+    Staged tables of the session are deleted at the end.
+    """
     schema = read_keel_header(spark, header)
     if minority not in schema.classes:
         raise ValueError(f"{minority!r} is not one of the classes {schema.classes}")
     table = read_keel(spark, schema, path, input_delimiter, on_error)
     encoded = encode_labeled(table, schema.features, schema.label, schema.dictionary, on_error=on_error)
-    # text is parsed once; all later passes read the columns they need
-    rows = stage(
-        explode_features(encoded.drop("label_code"), schema.features).withColumnRenamed("label", schema.label)
-        if schema.label == "label"
-        else explode_features(
-            encoded.drop("label_code").withColumnRenamed("label", schema.label), schema.features
-        ),
-        "encoded",
-    )
+    named = encoded.drop("label_code").withColumnRenamed("label", schema.label)
+    rows = explode_features(named, schema.features)
     out = balance(
         rows, schema.label, minority, schema.features,
         k=k, over_pct=over_pct, seed=seed, blocks=blocks, num_partitions=num_partitions,
     )
-    columns = [*schema.features, schema.label]
-    write_balanced(out, output, format, columns, delimiter)
-    return balance_report(out, schema.label, minority)
+    # counted while they are written
+    seen = Observation()
+    out = out.observe(seen, *class_counts(schema.label, minority))
+    write_balanced(out, output, format, [*schema.features, schema.label], delimiter)
+    drop_staged(spark)
+    counts = seen.get
+    return report(spark.sql(f"select {counts['num_all']}L as num_all, {counts['num_pos']}L as num_pos"))
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -177,20 +177,18 @@ def read_keel(
     path: str | Sequence[str],
     delimiter: str = ",",
     on_error: str = "fail",
-    min_partitions: int | None = None,
 ) -> DataFrame:
     """The data file as typed columns: DOUBLE for numbers, STRING for labels.
 
     Empty lines, ``@`` lines and lines with too few or too many fields are left
     out. A value that is no number stops the job, or with
     ``on_error='reject'`` leaves out its row; ``read_keel_rejects`` lists both.
+    Splits follow ``spark.sql.files.maxPartitionBytes`` and ``minPartitionNum``.
     """
     if on_error not in ("fail", "reject"):
         raise ValueError("on_error must be 'fail' or 'reject'")
-    lines = spark.read.text(path)
-    if min_partitions and lines.rdd.getNumPartitions() < min_partitions:
-        lines = lines.repartition(min_partitions)
-    parsed = _parsed(well_formed(lines, len(schema.attributes), delimiter), schema, delimiter, on_error)
+    lines = well_formed(spark.read.text(path), len(schema.attributes), delimiter)
+    parsed = _parsed(lines, schema, delimiter, on_error)
     if on_error == "reject":
         parsed = parsed.where(_known(schema))
     return parsed.drop("value")

@@ -90,6 +90,13 @@ def test_a_vector_that_a_third_of_the_rows_hold(spark, monkeypatch):
     assert sent.where(F.col("vec")[0] == 0.5).count() == 5
 
 
+@pytest.mark.parametrize("hot_rows", [0, 100])
+def test_negative_zero_is_zero(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(neighbors, "HOT_ROWS", hot_rows)
+    p = {1: [0.0, 1.0], 2: [-0.0, 1.0], 3: [-0.0, 1.0], 4: [0.0, 2.0], 5: [3.0, -0.0], 6: [0.0, 1.0]}
+    assert lists(neighbors.knn_self(frame(spark, p), 3)) == brute(p, p, 3)
+
+
 def test_fewer_rows_than_k(spark):
     p = {1: [0.0], 2: [1.0], 3: [1.0]}
     assert lists(neighbors.knn_self(frame(spark, p), 5)) == brute(p, p, 5)

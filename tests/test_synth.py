@@ -1,8 +1,11 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rebalance.operators import neighbors, ranking, scaling, synth
+from rebalance import staging
 from rebalance.plans.balance import balance
 
 FEATURES = ["x", "y"]
@@ -123,3 +126,22 @@ def test_copies_add_up(spark, num_syn):
     drawn = seeds.select("id", synth.quota_draw(synth.SEED, "id").alias("d")).orderBy("d", "id").collect()
     more = {r.id for r in drawn[: num_syn % 100]}
     assert got == {i: num_syn // 100 + (i in more) for i in range(100)}
+
+
+def test_many_copies_are_dealt_out(spark, monkeypatch):
+    df = table(spark, 6, 400)
+    want = sorted(synth.smote(df, "c", "p", FEATURES, "id").collect())
+    monkeypatch.setattr(synth, "RUN", 7)
+    monkeypatch.setattr(synth, "ROWS_PER_TASK", 100)
+    dealt = synth.smote(df, "c", "p", FEATURES, "id")
+    assert sorted(dealt.collect()) == want
+    assert dealt.rdd.getNumPartitions() == 4
+
+
+def test_staged_tables_can_be_dropped(spark):
+    df = staging.stage(spark.range(5), "t")
+    assert df.count() == 5
+    folder = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    staging.drop_staged(spark)
+    assert not os.path.exists(folder)
