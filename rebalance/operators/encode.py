@@ -16,6 +16,7 @@ from pyspark.sql.types import NumericType
 
 from rebalance.operators.ranking import global_rank
 from rebalance.operators.scaling import Ranges, scaled
+from rebalance.staging import stage
 
 Dictionary = Mapping[str, Mapping[str, float]] | DataFrame
 
@@ -53,15 +54,19 @@ def attribute_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 
 
 def category_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(col_name, label, code): codes 0, 1, ... in label order, per column."""
+    """(col_name, label, code): codes 0, 1, ... in label order, per column.
+
+    The dictionary is written once, so joins with it know its size.
+    """
     pairs = F.array(*[F.struct(F.lit(c).alias("col_name"), F.trim(F.col(c).cast("string")).alias("label")) for c in columns])
     labels = df.select(F.inline(pairs)).where(F.col("label").isNotNull()).distinct()
     ranked = global_rank(labels, "col_name", "label")
     # one row per column
     starts = ranked.groupBy("col_name").agg(F.min("rank").alias("start"))
-    return ranked.join(F.broadcast(starts), "col_name").select(
+    codes = ranked.join(F.broadcast(starts), "col_name").select(
         "col_name", "label", (F.col("rank") - F.col("start")).cast("double").alias("code")
     )
+    return stage(codes, "dictionary")
 
 
 def _number(text: Column, on_error: str) -> Column:

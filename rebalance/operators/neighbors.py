@@ -112,7 +112,6 @@ def _meet(
     The queries of a block are dealt out over chunks, and the block is sent to
     each of its chunks, so no task gets more than one block and one chunk.
     """
-    keys = ["cell", "sub", "chunk"]
     if isinstance(chunks, DataFrame):
         # one row per block: no more than TREE_VALUES cells and n / block_rows blocks besides
         queries = queries.join(F.broadcast(chunks), ["cell", "sub"])
@@ -123,7 +122,9 @@ def _meet(
     queries = queries.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), n).cast("int"))
     corpus = corpus.withColumn("chunk", F.explode(F.sequence(F.lit(0), n.cast("int") - 1)))
     bounded = "bound" in queries.columns
-    q_cols = [*keys, "id", "vec", *(["bound"] if bounded else [])]
+    # one key column, so that the repartitioning below is the grouping's own
+    key = F.struct("cell", "sub", "chunk").alias("key")
+    q_cols = ["id", "vec", "bound"] if bounded else ["id", "vec", "cell", "sub"]
     spark = queries.sparkSession
     wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     partitions = min(n_groups, 2 * wanted)
@@ -138,21 +139,17 @@ def _meet(
         out = {"id": pa.array(x_ids)}
         if not bounded:
             out["vec"] = B.vectors(x)
-            for key in ("cell", "sub"):
-                out[key] = q[key] if len(x) else pa.array([], pa.int32())
+            for c_name in ("cell", "sub"):
+                out[c_name] = q[c_name] if len(x) else pa.array([], pa.int32())
             out["bound"] = pa.array(B.kth_distance(len(x), rows, dist, k))
         out["nbrs"] = B.neighbor_lists(len(x), rows, cols, dist, y, y_ids, with_vectors)
         return pa.table(out)
 
     home = "" if bounded else "vec array<double>, cell int, sub int, bound double, "
-    left = queries.select(*q_cols).repartition(partitions, *keys).groupBy(*keys)
+    left = queries.select(key, *q_cols).repartition(partitions, "key").groupBy("key")
     # names of their own: both sides may stem from one table
-    c_keys = [f"c_{c}" for c in keys]
-    right = (
-        corpus.select(*[F.col(c).alias(f"c_{c}") for c in (*keys, "id", "vec")])
-        .repartition(partitions, *c_keys)
-        .groupBy(*c_keys)
-    )
+    c_cols = [F.col(c).alias(f"c_{c}") for c in ("id", "vec")]
+    right = corpus.select(key.alias("c_key"), *c_cols).repartition(partitions, "c_key").groupBy("c_key")
     return left.cogroup(right).applyInArrow(compare, f"id bigint, {home}nbrs {search.list_type}")
 
 

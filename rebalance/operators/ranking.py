@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rebalance.staging import stage
@@ -13,24 +13,29 @@ def with_row_id(df: DataFrame, id_col: str = "id") -> DataFrame:
     return stage(df.withColumn(id_col, F.monotonically_increasing_id()), "row-ids")
 
 
+ROW_BITS = 33  # a generated id is the partition number, then 33 bits of row number
+
+
 def global_rank(df: DataFrame, *order_by: str, rank: str = "rank") -> DataFrame:
     """Dense row number 1..n in the order of ``order_by``.
 
-    Rows are range-partitioned, numbered within their partition, and shifted by
-    the number of rows in the partitions before it. The written table pins the
-    partition of every row. Offsets are one row per shuffle partition.
+    Rows are range-partitioned, sorted and numbered within their partition, and
+    written, which pins the numbers. The rank adds the number of rows in the
+    partitions before, a table with one row per shuffle partition.
     """
-    order: list[Column] = [F.col(c) for c in order_by]
-    parts = stage(
-        df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges"
+    numbered = stage(
+        df.repartitionByRange(*order_by)
+        .sortWithinPartitions(*order_by)
+        .withColumn("_number", F.monotonically_increasing_id()),
+        "ranges",
     )
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    part, row = F.shiftright("_number", ROW_BITS), F.col("_number").bitwiseAND((1 << ROW_BITS) - 1)
+    sizes = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_part").orderBy(*order)
     return (
-        parts.withColumn("_row", F.row_number().over(within).cast("bigint"))
+        numbered.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
-        .withColumn(rank, F.col("_before") + F.col("_row"))
-        .drop("_part", "_row", "_before")
+        .withColumn(rank, F.col("_before") + row + 1)
+        .drop("_part", "_number", "_before")
     )
