@@ -28,9 +28,9 @@ from rebalance.operators import blocks as B
 from rebalance.staging import stage, stage_observed
 
 BLOCK_VALUES = 1 << 22  # doubles in one block of candidates (32 MiB)
-BLOCK_ROWS = 32768
+BLOCK_ROWS = 65536
 QUERY_ROWS = 8192  # queries that meet a block in one task
-MIN_QUERY_ROWS = 128  # fewer are not worth a task of their own
+MIN_QUERY_ROWS = 512  # fewer are not worth a task of their own
 TREE_VALUES = 1 << 21  # doubles in the cell boxes and in the sample they come from
 HOT_ROWS = 100_000  # below this many rows no vector is worth salting
 BROADCAST_VALUES = 1 << 22  # doubles in the neighbour lists of hot vectors
