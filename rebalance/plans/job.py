@@ -1,6 +1,6 @@
 """spark-submit job: balance a KEEL data set and write it as text.
 
-    spark-submit rebalance/plans/job.py --header h.txt --input d.csv --output out
+    spark-submit balance_job.py --header h.txt --input d.csv --output out
 """
 
 from __future__ import annotations
@@ -79,6 +79,3 @@ def main(argv: list[str] | None = None) -> None:
         a.input_delimiter, a.blocks, a.num_partitions, a.format, a.on_error,
     ).show()
 
-
-if __name__ == "__main__":
-    main()
