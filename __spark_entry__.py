@@ -189,9 +189,9 @@ def _smote_sql(source, id_col, where, features, label, label_sql, over_pct=100,
 _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
-def _query(sql: str | None):
+def _query(sql: str | None, name: str | None = None):
     def register(f):
-        _ALL[f.__name__] = (f, sql)
+        _ALL[name or f.__name__] = (f, sql)
         return f
 
     return register
@@ -542,7 +542,7 @@ def pick_neighbor(spark, sf):
 
 @_query(f"""{_FIRSTS}, x as (select vec_id, v, w, {_gap_sql(_hex_sql('gap', 'vec_id'))} as gap from t join c using (label)),
   y as (select vec_id, v, w, gap, unnest(range(1, {DIMS + 1})) as pos from x)
-  select vec_id, (pos - 1)::int as pos, v[pos] + (w[pos] - v[pos]) * gap as val from y""")
+  select vec_id, (pos - 1)::int as pos, v[pos] + (w[pos] - v[pos]) * gap as val from y""", "interpolate")
 def interpolate_pairs(spark, sf):
     rows = _with_first(spark, sf).withColumn("gap", draws.draw_unit(draws.digest(SEED, "gap", F.col("vec_id"))))
     return rows.select("vec_id", F.posexplode(interpolate("v", "w", "gap")).alias("pos", "val"))
@@ -580,7 +580,7 @@ def smote_vectors(spark, sf):
 
 @_query(f"""with {_smote_sql(TOX, 'doc_id', 'toxic = 1', TOX_F, 'toxic', '1::int')[5:]}""".replace(
     "select drawn.id as seed_id, copy, nbr_id, gap,", "select null::bigint as doc_id, true as is_synthetic,")
-    + " union all select doc_id, false, n_chars, n_words, toxic from t")
+    + " union all select doc_id, false, n_chars, n_words, toxic from t", "balance")
 def balanced(spark, sf):
     return balance(tox(spark, sf), "toxic", 1, TOX_F, "doc_id")
 
