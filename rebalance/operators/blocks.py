@@ -19,8 +19,9 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TILE = 1 << 16  # distances held at a time
-LEAF_ROWS = 256  # candidates that are compared or skipped together
-WIDE = 16  # vectors of this length are screened by a matrix product
+LEAF_ROWS = 512  # candidates that are compared or skipped together
+NEAR_LEAVES = 8  # leaves that sharpen the bound before the others are judged
+WIDE = 5  # vectors of this length and more are screened by a matrix product
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -150,22 +151,29 @@ def _all_pairs(part, columns, k, metric, exclude_zero, bound):
 def _screened_pairs(part, columns, k, exclude_zero, bound):
     """The same for wide vectors: a matrix product screens the pairs.
 
-    Its squared distances are off by no more than ``slack``. What may belong to
-    the k nearest is then computed as everywhere else.
+    Its squared distances, taken around the middle of the block, are off by no
+    more than ``slack``. What may belong to the k nearest is then computed as
+    everywhere else.
     """
-    dims = len(columns)
-    p2, c2 = (part * part).sum(axis=1), (columns * columns).sum(axis=0)
-    slack = 16 * (dims + 8) * np.finfo(float).eps * (p2 + c2.max())[:, None]
-    rough = p2[:, None] + c2 - 2.0 * (part @ columns)
-    most = rough + slack
-    if exclude_zero:
-        most[rough <= slack] = np.inf  # may be zero: must not count as a neighbour
+    middle = columns.mean(axis=1)
+    p, c = part - middle, columns - middle[:, None]
+    p2, c2 = (p * p).sum(axis=1), (c * c).sum(axis=0)
+    slack = 16 * (len(c) + 8) * np.finfo(float).eps * (p2 + c2.max()) + 1e-300  # and of underflow
+    rough = p @ c
+    rough *= -2.0
+    rough += p2[:, None]
+    rough += c2
     with np.errstate(over="ignore"):
-        limit = np.minimum(_kth_smallest(most, k), bound * bound * (1 + 1e-12))
-    rows, cols = np.nonzero(rough - slack <= limit[:, None])
-    dist = _distances(
-        lambda j: part[rows, j][None] - columns[j, cols][None], dims, (1, len(rows)), "euclidean"
-    )[0]
+        limit = bound * bound * (1 + 1e-12)
+    if np.isinf(limit).any():
+        most = rough + slack[:, None]
+        if exclude_zero:
+            most[rough <= slack[:, None]] = np.inf  # may be zero: must not count as a neighbour
+        limit = np.minimum(limit, _kth_smallest(most, k))
+    rows, cols = np.nonzero(rough <= (limit + slack)[:, None])
+    gaps = part[rows] - columns.T[cols]
+    # accumulate adds from left to right, as _distances does
+    dist = np.sqrt(np.add.accumulate(gaps * gaps, axis=1)[:, -1])
     good = (dist <= bound[rows]) & ((dist > 0.0) if exclude_zero else True)
     return rows[good], cols[good], dist[good]
 
@@ -211,38 +219,42 @@ def nearest(q, c, c_ids, k: int, metric: str, exclude_zero: bool, bound=None):
         return _joined([])
     if len(c) <= 2 * LEAF_ROWS:
         return _compare(q, c, c_ids, k, metric, exclude_zero, limit)
-    tree = split_tree(c, len(c) // LEAF_ROWS)
-    leaf = leaf_of(tree, c)
+    leaf = leaf_of(split_tree(c, len(c) // LEAF_ROWS), c)
     order = np.argsort(leaf, kind="stable")
     starts = np.flatnonzero(np.diff(leaf[order], prepend=-1))
-    members = dict(zip(leaf[order][starts], np.split(order, starts[1:]), strict=True))
-    numbers = np.array(list(members))
+    members = np.split(order, starts[1:])
     lo, hi = np.minimum.reduceat(c[order], starts), np.maximum.reduceat(c[order], starts)
-
-    def visit(rows, leaves, limit):
-        out = []
-        by_leaf = np.argsort(leaves, kind="stable")
-        rows, leaves = rows[by_leaf], leaves[by_leaf]
-        cuts = np.flatnonzero(np.diff(leaves, prepend=-1))
-        for some, number in zip(np.split(rows, cuts[1:]), leaves[cuts], strict=True):
+    gaps = box_gap(q, q, lo, hi, metric)
+    found = _joined([])
+    # the nearest leaf, the next few, then all others that are still in reach
+    for few in (1, NEAR_LEAVES, len(members)):
+        picked = _nearest_columns(gaps, few)
+        rows, slots = np.nonzero(np.take_along_axis(gaps, picked, axis=1) <= limit[:, None])
+        leaves = picked[rows, slots]
+        gaps[rows, leaves] = np.inf
+        out = [found]
+        for number, some in _by_value(leaves, rows):
             at = members[number]
             r, i, d = _compare(q[some], c[at], c_ids[at], k, metric, exclude_zero, limit[some])
             out.append((some[r], at[i], d))
-        return _joined(out)
+        found = _first_k(*_joined(out), c_ids, k)
+        limit = np.minimum(limit, kth_distance(len(q), found[0], found[2], k))
+    return found
 
-    home, found = np.full(len(q), -1), []
-    if bound is None:
-        home = leaf_of(tree, q)
-        rows, cols, dist = visit(np.arange(len(q)), home, limit)
-        rows, cols, dist = _first_k(rows, cols, dist, c_ids, k)
-        limit = np.minimum(limit, kth_distance(len(q), rows, dist, k))
-        found.append((rows, cols, dist))
-    reach = [(r, numbers[i]) for r, i in cells_in_reach(q, limit, home, lo, hi, metric)]
-    rows, leaves = (np.concatenate(p) for p in zip(*reach, strict=True))
-    away = leaves != home[rows]
-    if away.any():
-        found.append(visit(rows[away], leaves[away], limit))
-    return _first_k(*_joined(found), c_ids, k)
+
+def _nearest_columns(values: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the n columns with the least values, per row."""
+    if n >= values.shape[1]:
+        return np.broadcast_to(np.arange(values.shape[1]), values.shape)
+    return np.argpartition(values, n - 1, axis=1)[:, :n]
+
+
+def _by_value(values: np.ndarray, rows: np.ndarray):
+    """(value, its rows) for every value."""
+    order = np.argsort(values, kind="stable")
+    values, rows = values[order], rows[order]
+    starts = np.flatnonzero(np.diff(values, prepend=-1))
+    return zip(values[starts], np.split(rows, starts[1:]), strict=bool(len(starts)))
 
 
 def neighbor_lists(n_queries: int, rows, cols, dist, c, c_ids, with_vectors: bool) -> pa.ListArray:

@@ -162,6 +162,18 @@ def test_one_block(dims, metric, grid, bounded):
     assert got == want
 
 
+@pytest.mark.parametrize("offset, spread", [(1e9, 1.0), (-1e15, 64.0), (0.0, 1e-160), (0.0, 1e120)])
+def test_screening_is_exact_far_from_zero(offset, spread):
+    c = np.random.default_rng(5).integers(0, 4, (900, 6)) * spread + offset
+    ids = np.arange(900, dtype=np.int64)
+    want = brute(dict(enumerate(c[:50].tolist())), dict(enumerate(c.tolist())), 5)
+    rows, cols, dist = blocks.nearest(c[:50], c, ids, 5, "euclidean", True)
+    got = {i: [] for i in want}
+    for r, i, d in zip(rows, cols, dist, strict=True):
+        got[r].append((int(i), float(d)))
+    assert got == want
+
+
 def test_box_bound_never_exceeds_a_distance():
     rng = np.random.default_rng(3)
     c, q = rng.random((500, 5)), rng.random((40, 5)) * 2 - 0.5
