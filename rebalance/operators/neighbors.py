@@ -80,7 +80,11 @@ def _prepared(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def _distinct_points(df: DataFrame, copies: int, name: str) -> tuple[DataFrame, dict]:
-    """Rows with the ``copies`` lowest ids of every vector, written once."""
+    """Rows with the ``copies`` lowest ids of every vector, written once.
+
+    ``n_rows`` is counted before a shuffle; tasks repeated after the loss of an
+    executor may add to it, so it is an upper bound of the number of input rows.
+    """
     everything = Observation()
     rows = df.observe(everything, F.count(F.lit(1)).alias("n_rows"))
     points = topk_per_key(
