@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from rebalance.functions.text import trimmed
 from rebalance.operators.ranking import global_rank
 from rebalance.operators.scaling import Ranges, scaled
 from rebalance.staging import stage
@@ -58,7 +59,7 @@ def category_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     The dictionary is written once, so joins with it know its size.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("col_name"), F.trim(F.col(c).cast("string")).alias("label")) for c in columns])
+    pairs = F.array(*[F.struct(F.lit(c).alias("col_name"), trimmed(F.col(c).cast("string")).alias("label")) for c in columns])
     labels = df.select(F.inline(pairs)).where(F.col("label").isNotNull()).distinct()
     ranked = global_rank(labels, "col_name", "label")
     # one row per column
@@ -90,7 +91,7 @@ def _with_codes(
             part = dictionary.where(F.col("col_name") == c).select(
                 F.col("label").alias(f"_label_{j}"), F.col("code").alias(f"_code_{j}")
             )
-            text = F.trim(F.col(c).cast("string"))
+            text = trimmed(F.col(c).cast("string"))
             df = df.join(part, text == F.col(f"_label_{j}"), "left")
             # a number is read just where the dictionary has no entry
             codes[c] = F.when(F.col(f"_label_{j}").isNotNull(), F.col(f"_code_{j}")).otherwise(
@@ -102,9 +103,9 @@ def _with_codes(
         plain = F.col(c)
         if not declared:
             is_text = df.schema[c].dataType.typeName() == "string"
-            codes[c] = _number(F.trim(plain), on_error) if is_text else plain.cast("double")
+            codes[c] = _number(trimmed(plain), on_error) if is_text else plain.cast("double")
             continue
-        text = F.trim(plain.cast("string"))
+        text = trimmed(plain.cast("string"))
         found = F.from_json(F.lit(json.dumps(declared)), "map<string,double>")[text]
         codes[c] = F.when(found.isNotNull(), found).otherwise(_number(text, on_error))
     return df, codes
@@ -143,7 +144,7 @@ def encode_labeled(
     return out.select(
         *keep,
         F.array(*[codes[c] for c in features]).alias("features"),
-        F.trim(F.col(label).cast("string")).alias("label"),
+        trimmed(F.col(label).cast("string")).alias("label"),
         codes[label].alias("label_code"),
     )
 
@@ -211,7 +212,7 @@ def numeric_view(
 ) -> DataFrame:
     """The numeric columns, and 1.0 for the positive label, 0.0 for all others."""
     columns = [c for c in (columns or numeric_columns(df)) if c != label and c not in keep]
-    is_positive = F.coalesce(F.trim(F.col(label).cast("string")) == positive, F.lit(False))
+    is_positive = F.coalesce(trimmed(F.col(label).cast("string")) == positive, F.lit(False))
     return df.select(
         *keep,
         *[F.col(c).cast("double").alias(c) for c in columns],

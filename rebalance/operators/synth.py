@@ -191,7 +191,12 @@ def smote(
         )
         return _as_rows(none, f, ranges, label, label_value)
 
-    seeds = stage(rows, "seeds") if id_col else with_row_id(rows)
+    if id_col:
+        seeds = stage(rows, "seeds")
+        if not seeds.groupBy("id").count().where("count > 1 or id is null").isEmpty():
+            raise ValueError(f"{id_col} must be unique and not null among the minority rows")
+    else:
+        seeds = with_row_id(rows)
     lists = neighbor_lists(seeds, None, k, metric, blocks=blocks, with_vectors=True)
     counted = lists.withColumn("copies", _copies(seeds, plan.num_syn, plan.num_pos, seed, "id"))
     copies = _copied(counted, plan.num_syn)

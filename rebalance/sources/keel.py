@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from rebalance.functions.text import trimmed
+
 # The header lines and brackets of the KEEL format.
 INPUTS = "@inputs"
 ATTRIBUTE = re.compile(r"^\s*@attribute\s+('[^']*'|\"[^\"]*\"|[^\s{\[]+)\s*(.*)$", re.IGNORECASE)
@@ -133,7 +135,7 @@ def _fits(line: Column, width: int, delimiter: str) -> Column:
 
 
 def _is_directive(line: Column) -> Column:
-    return F.startswith(F.ltrim(line), F.lit("@"))
+    return F.startswith(trimmed(line), F.lit("@"))
 
 
 def well_formed(lines: DataFrame, width: int, delimiter: str = ",", value: str = "value") -> DataFrame:
@@ -154,7 +156,7 @@ def _parsed(lines: DataFrame, schema: KeelSchema, delimiter: str, on_error: str)
     parts = F.split("value", re.escape(delimiter))
     columns = []
     for j, (attribute, field) in enumerate(zip(schema.attributes, schema.struct_type(), strict=True)):
-        text = F.trim(parts[j])
+        text = trimmed(parts[j])
         if attribute.kind == "numeric":
             text = text.cast("double") if on_error == "fail" else text.try_cast("double")
         columns.append(text.alias(attribute.name, metadata=field.metadata))

@@ -101,6 +101,13 @@ def test_labelled_point_example(spark):
     assert (row.label_code, row.features) == (0.0, [0.0, 0.56, 0.45, 0.185, 1.07, 0.3805, 0.175, 0.41])
 
 
+def test_tabs_around_fields(spark):
+    schema = keel.parse_header(HEADER)
+    line = spark.createDataFrame([("\tF\t,\t0.35 , 7,\tpositive ",), ("\t@data,a,b,c",)], "value string")
+    table = keel._parsed(keel.well_formed(line, 4), schema, ",", "fail").drop("value")
+    assert [tuple(r) for r in table.collect()] == [("F", 0.35, 7.0, "positive")]
+
+
 def test_unknown_label_is_read_as_a_number(spark):
     df = spark.createDataFrame([("a", "1"), ("7.5", "2")], "c string, l string")
     out = encode.encode_labeled(df, ["c"], "l", {"c": {"a": 3.0}}).collect()

@@ -111,6 +111,14 @@ def test_guards(spark):
         synth.smote(df.withColumn("x", F.lit(None).cast("double")), "c", "p", FEATURES, "id", k=4)
 
 
+@pytest.mark.parametrize("twice", ["id div 2", "nullif(id, 3)"])
+def test_ids_must_be_unique(spark, twice):
+    df = table(spark).withColumn("id", F.expr(twice))
+    with pytest.raises(ValueError, match="unique"):
+        synth.smote(df, "c", "p", FEATURES, "id")
+    assert synth.smote(df, "c", "p", FEATURES).count() == 70
+
+
 def test_global_rank(spark):
     df = spark.range(5000).select(F.col("id"), (F.rand(3) * 50).cast("int").alias("g")).repartition(9)
     got = ranking.global_rank(df, "g", "id").orderBy("rank").collect()
