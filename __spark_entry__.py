@@ -464,7 +464,8 @@ def topk_per_key(spark, sf):
     return neighbors.topk_per_key(t, "o_custkey", [F.col("o_totalprice").desc(), "o_orderkey"], 3)
 
 
-_EMB_P = f"with e as ({EMB}), q as (select vec_id as id, v from e where label = 5), c as (select vec_id as id, v from e where label <> 5)"
+_EMB_P = f"""with e as ({EMB}), q as (select vec_id as id, v from e where label = 5),
+  c as (select vec_id as id, v from e where label <> 5)"""
 
 
 def _emb_sides(spark, sf):
@@ -535,7 +536,8 @@ def pick_neighbor(spark, sf):
     t = tox(spark, sf)
     rows = _scaled_minority(t, "doc_id", "toxic", 1, TOX_F)
     lists = neighbors.neighbor_lists(rows.withColumnRenamed("features", "vec"), k=5)
-    copies = _copies(t, "doc_id", "toxic", 1, 100).select("id", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy"))
+    one_each = F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))
+    copies = _copies(t, "doc_id", "toxic", 1, 100).select("id", one_each.alias("copy"))
     drawn = synth.pick_neighbor(copies.join(lists, "id"))
     return drawn.select("id", "copy", "nbr_rank", "gap", F.col("nbr.nbr_id").alias("nbr_id"))
 

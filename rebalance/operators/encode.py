@@ -59,8 +59,10 @@ def category_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     The dictionary is written once, so joins with it know its size.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("col_name"), trimmed(F.col(c).cast("string")).alias("label")) for c in columns])
-    labels = df.select(F.inline(pairs)).where(F.col("label").isNotNull()).distinct()
+    pairs = [
+        F.struct(F.lit(c).alias("col_name"), trimmed(F.col(c).cast("string")).alias("label")) for c in columns
+    ]
+    labels = df.select(F.inline(F.array(*pairs))).where(F.col("label").isNotNull()).distinct()
     ranked = global_rank(labels, "col_name", "label")
     # one row per column
     starts = ranked.groupBy("col_name").agg(F.min("rank").alias("start"))
@@ -208,7 +210,11 @@ def declared_ranges(ranges: Mapping[str, tuple[float, float]], columns: Sequence
 
 
 def numeric_view(
-    df: DataFrame, label: str, positive: str = "positive", columns: Sequence[str] | None = None, keep: Sequence[str] = ()
+    df: DataFrame,
+    label: str,
+    positive: str = "positive",
+    columns: Sequence[str] | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """The numeric columns, and 1.0 for the positive label, 0.0 for all others."""
     columns = [c for c in (columns or numeric_columns(df)) if c != label and c not in keep]
@@ -228,7 +234,8 @@ def decode_label(
         names = dictionary.where(F.col("col_name") == column).select(
             F.col("code").alias("_code"), F.col("label").alias("_label")
         )
-        return df.join(names, F.col(code) == F.col("_code"), "left").withColumn(label, F.col("_label")).drop("_code", "_label")
+        named = df.join(names, F.col(code) == F.col("_code"), "left")
+        return named.withColumn(label, F.col("_label")).drop("_code", "_label")
     by_code = {str(float(v)): k for k, v in dictionary[column].items()}
     names = F.from_json(F.lit(json.dumps(by_code)), "map<string,string>")
     return df.withColumn(label, names[F.col(code).cast("double").cast("string")])

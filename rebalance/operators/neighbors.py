@@ -120,14 +120,15 @@ def _meet(
         # one row per block: no more than TREE_VALUES cells and n / block_rows blocks besides
         queries = queries.join(F.broadcast(chunks), ["cell", "sub"])
         corpus = corpus.join(F.broadcast(chunks), ["cell", "sub"])
-        n = F.col("chunks")
+        first, n = F.col("first"), F.col("chunks")
     else:
-        n = F.lit(chunks)
-    queries = queries.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), n).cast("int"))
-    corpus = corpus.withColumn("chunk", F.explode(F.sequence(F.lit(0), n.cast("int") - 1)))
+        first, n = F.lit(0).cast("bigint"), F.lit(chunks).cast("bigint")
+    # meetings are numbered 0, 1, ..., so they can be spread evenly over the tasks
+    chunk = F.pmod(F.xxhash64("id", F.lit(7)), n)
+    queries = queries.withColumn("meeting", (first + chunk).cast("int"))
+    every = F.sequence(first.cast("int"), (first + n - 1).cast("int"))
+    corpus = corpus.withColumn("meeting", F.explode(every))
     bounded = "bound" in queries.columns
-    # one key column, so that the repartitioning below is the grouping's own
-    key = F.struct("cell", "sub", "chunk").alias("key")
     q_cols = ["id", "vec", "bound"] if bounded else ["id", "vec", "cell", "sub"]
     spark = queries.sparkSession
     wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
@@ -150,10 +151,10 @@ def _meet(
         return pa.table(out)
 
     home = "" if bounded else "vec array<double>, cell int, sub int, bound double, "
-    left = queries.select(key, *q_cols).repartition(partitions, "key").groupBy("key")
+    left = queries.select("meeting", *q_cols).repartitionById(partitions, "meeting").groupBy("meeting")
     # names of their own: both sides may stem from one table
-    c_cols = [F.col(c).alias(f"c_{c}") for c in ("id", "vec")]
-    right = corpus.select(key.alias("c_key"), *c_cols).repartition(partitions, "c_key").groupBy("c_key")
+    c_cols = [F.col(c).alias(f"c_{c}") for c in ("meeting", "id", "vec")]
+    right = corpus.select(*c_cols).repartitionById(partitions, "c_meeting").groupBy("c_meeting")
     return left.cogroup(right).applyInArrow(compare, f"id bigint, {home}nbrs {search.list_type}")
 
 
@@ -205,9 +206,10 @@ def _boxes(corpus: DataFrame, width: int):
 
 
 def _chunk_counts(queries: DataFrame, query_rows: int) -> DataFrame:
-    return queries.groupBy("cell", "sub").agg(
-        F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("chunks")
-    )
+    """(cell, sub, chunks, first): meetings per block, and the number of the first; a row per block."""
+    counts = queries.groupBy("cell", "sub").agg(F.ceil(F.count(F.lit(1)) / query_rows).alias("chunks"))
+    before = Window.partitionBy(F.lit(1)).orderBy("cell", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("first", F.coalesce(F.sum("chunks").over(before), F.lit(0)))
 
 
 def _search_lists(queries: DataFrame, n_queries: int, corpus: DataFrame, n: int, width: int, blocks, search: _Search):

@@ -150,7 +150,8 @@ def unscaled(x: Column, lo: float, hi: float) -> Column:
 
 def scaled_vector(f: Features, ranges: Ranges, constant: float | None = CONSTANT) -> Column:
     if not f.is_vector:
-        return F.array(*[scaled(x, lo, hi, constant) for x, lo, hi in zip(f.items, ranges.mins, ranges.maxs, strict=True)])
+        ends = zip(f.items, ranges.mins, ranges.maxs, strict=True)
+        return F.array(*[scaled(x, lo, hi, constant) for x, lo, hi in ends])
     from_low = F.zip_with(f.vector, double_array(ranges.mins), lambda x, lo: x - lo)
     return F.zip_with(
         from_low, _spans(ranges), lambda x, s: F.when(s != 0, x / s).when(x.isNotNull(), F.lit(constant).cast("double"))

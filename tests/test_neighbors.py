@@ -24,7 +24,8 @@ def brute(queries, corpus, k, metric="euclidean", exclude_zero=True):
 
 
 def frame(spark, points):
-    return spark.createDataFrame([(int(i), [float(v) for v in x]) for i, x in points.items()], "id bigint, features array<double>")
+    rows = [(int(i), [float(v) for v in x]) for i, x in points.items()]
+    return spark.createDataFrame(rows, "id bigint, features array<double>")
 
 
 def lists(df):

@@ -13,7 +13,8 @@ FEATURES = ["x", "y"]
 
 def table(spark, n_pos=30, n_neg=100, seed=0):
     rng = np.random.default_rng(seed)
-    rows = [(i, "p" if i < n_pos else "n", float(a), float(b), f"t{i}") for i, (a, b) in enumerate(rng.random((n_pos + n_neg, 2)) * [10, 500])]
+    values = rng.random((n_pos + n_neg, 2)) * [10, 500]
+    rows = [(i, "p" if i < n_pos else "n", float(a), float(b), f"t{i}") for i, (a, b) in enumerate(values)]
     return spark.createDataFrame(rows, "id bigint, c string, x double, y double, note string")
 
 
@@ -85,7 +86,8 @@ def test_nothing_to_create(spark):
 
 
 def test_rows_all_alike_are_copied(spark):
-    df = table(spark, 8, 40).withColumn("x", F.lit(4.0)).withColumn("y", F.when(F.col("c") == "p", 7.0).otherwise(F.col("y")))
+    is_p = F.col("c") == "p"
+    df = table(spark, 8, 40).withColumn("x", F.lit(4.0)).withColumn("y", F.when(is_p, 7.0).otherwise(F.col("y")))
     made = synth.smote(df, "c", "p", FEATURES, "id", k=3).collect()
     assert len(made) == 32
     assert all(r.nbr_id is None and r.x == 4.0 and r.y == pytest.approx(7.0) for r in made)
@@ -93,8 +95,12 @@ def test_rows_all_alike_are_copied(spark):
 
 def test_fewer_neighbours_than_k(spark):
     """Two distinct vectors: every seed has just the copies of the other one."""
-    df = table(spark, 8, 40).withColumn("x", F.when(F.col("c") == "p", (F.col("id") % 2).cast("double")).otherwise(F.col("x"))).withColumn(
-        "y", F.when(F.col("c") == "p", 7.0).otherwise(F.col("y"))
+    is_p = F.col("c") == "p"
+    df = table(spark, 8, 40).withColumns(
+        {
+            "x": F.when(is_p, (F.col("id") % 2).cast("double")).otherwise(F.col("x")),
+            "y": F.when(is_p, 7.0).otherwise(F.col("y")),
+        }
     )
     made = synth.smote(df, "c", "p", FEATURES, "id", k=7).collect()
     assert len(made) == 32
