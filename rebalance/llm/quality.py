@@ -138,8 +138,7 @@ def judge(
     split = docs.drop(*named).withColumn("__words", words_of("text"))
     split = split.withColumn("__inked", F.array_join(words, "")).withColumn("__weights", weights)
     total = F.aggregate(features(words, bits), F.lit(0.0), lambda a, b: a + F.get(F.col("__weights"), b))
-    counted = split.select(
-        *[c for c in split.columns if not c.startswith("__")],
+    counts = F.struct(
         F.size(words).cast("long").alias("n_words"),
         F.length(inked).cast("long").alias("word_chars"),
         (F.length(inked) - F.length(F.regexp_replace(inked, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -147,5 +146,8 @@ def judge(
         repeated_words(words).alias("n_repeat_words"),
         F.when(F.size(words) > 0, total / F.size(words)).alias("llr"),
     )
+    # a generated row: a filter on the verdict stays above it, and words are split once
+    kept = [F.col(f"`{c}`") for c in split.columns if not c.startswith("__")]
+    counted = split.select(*kept, F.explode(F.array(counts)).alias("__c")).select(*kept, "__c.*")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= min_llr))
