@@ -643,9 +643,18 @@ def entry(spark: SparkSession) -> DataFrame:
     return balanced(spark, "/root/testdata/sf0.001")
 
 
+def _more() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """The queries of the optional subpackage, if it is there."""
+    try:
+        from rebalance.llm import queries as more
+    except ImportError:
+        return {}, {}
+    return more.QUERIES, more.ORACLES
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in _ALL.items()}
+    return {name: f for name, (f, _) in _ALL.items()} | _more()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _ALL.items() if sql}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql} | _more()[1]
