@@ -30,6 +30,7 @@ SHINGLE_WORDS = 3
 MIN_PERCENT = 85
 CHUNK_DOCS, CHUNK_SHINGLES = 512, 400_000  # per chunk of a candidate group
 SLICE_BYTES = 4 << 20
+SLOT_COUNT = 1 << 20  # bounds the broadcast that keeps texts without candidates from moving
 
 _U = np.uint64
 
@@ -270,6 +271,10 @@ def components(edges: DataFrame) -> DataFrame:
         last = state
 
 
+def _slot(doc_id: str):
+    return F.pmod(F.xxhash64(doc_id), F.lit(SLOT_COUNT)).cast("int")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -311,9 +316,11 @@ def near_duplicates(
         "bkey", "cls", "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     ).select("bkey", "cls", "doc_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     dealt = stage(dealt, "tiles")
-    known = texts.select(F.col("doc_id").alias("source_id"), "text").where(F.col("text").isNotNull())
+    # texts of hash slots without a candidate need not move; there are SLOT_COUNT slots at most
+    slots = dealt.select(_slot("doc_id").alias("slot")).distinct()
+    known = texts.select(F.col("doc_id").alias("source_id"), "text", _slot("doc_id").alias("slot"))
+    known = known.where(F.col("text").isNotNull()).join(F.broadcast(slots), "slot", "left_semi")
     same = F.col("doc_id").eqNullSafe(F.col("source_id"))
-    known = known.join(dealt.select("doc_id").distinct(), same, "left_semi")
     tiles = dealt.join(known, same).select("bkey", "i", "j", "cls", "text")
     tiles = tiles.repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j")
     links = components(tiles.mapInArrow(_forest(width, percent), "u binary, v binary"))
