@@ -13,10 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rebalance.staging import new_path
+from rebalance.staging import new_path, stage
 
 SEED = 20240229
 BUCKET_BYTES = 8 << 20
+BROADCAST_BUCKETS = 500_000  # starts of more buckets are joined by a shuffle
 
 
 def scatter(docs: DataFrame, *, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -51,9 +52,12 @@ def shards(docs: DataFrame, count: int, *, seed: int = SEED, bucket_bytes: int =
     no rows. Equal rows are dealt as any others.
     """
     written = scatter(docs, seed=seed, bucket_bytes=bucket_bytes)
-    sizes = written.groupBy("bucket").agg(F.count("*").alias("n"))
+    sizes = stage(written.groupBy("bucket").agg(F.count("*").alias("n")), "bucket-sizes")
     before = F.sum("n").over(Window.orderBy("bucket")) - F.col("n")  # one short row for each bucket
     starts = sizes.select("bucket", before.alias("start"))
+    if sizes.count() <= BROADCAST_BUCKETS:
+        # two numbers for each bucket; without the hint the texts are shuffled before this is known
+        starts = F.broadcast(starts)
     place = F.col("start") + F.col("place")
     return written.join(starts, "bucket").select(
         "of", (place % count).cast("int").alias("shard"), F.floor(place / F.lit(count)).cast("long").alias("slot")
