@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rebalance.llm import chat, decontaminate, html_text, katz, neardup, pieces, pii, quality, sharding, urls
-from rebalance.llm.common import table
+from rebalance.llm import (
+    alignment, chat, decontaminate, html_text, katz, neardup, periods, pieces, pii, quality, sharding, toxicity, urls,
+)
+from rebalance.llm.common import table, words_of
 
 MODEL = "piece_bpe_32k.model"
 RULES = [
@@ -168,6 +170,56 @@ def op10_shards(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def id_hash() -> Column:
+    """crc32 of the decimal doc_id; a missing id counts as the empty text."""
+    return F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
+
+
+def op11_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held_out = id_hash() % 3 == 1
+    model = toxicity.fit(docs, table(spark, sf, "labels"), ~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Documents whose words from some place on repeat, for one id hash in ten."""
+    g, n = F.floor(id_hash() / 10), F.size("w").cast("long")
+    a = F.expr("g % n")
+    p = F.expr("1 + floor((n - a) / (3 + g % 8))")
+    split = docs.select("doc_id", "text", words_of("text").alias("w"), id_hash().alias("h"), g.alias("g"))
+    sized = split.withColumn("n", n).withColumn("a", F.when(F.col("n") > 0, a)).withColumn("p", F.when(F.col("n") > 0, p))
+    repeated = F.transform(
+        "w", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    )
+    chosen = (F.col("h") % 10 == 0) & (F.col("n") > 0)
+    return sized.select("doc_id", F.when(chosen, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periods(spark: SparkSession, sf: str) -> DataFrame:
+    found = periods.find_runs(with_periods(table(spark, sf, "documents").select("doc_id", "text")))
+    ranked = F.array_sort(
+        F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period")))
+    )
+    first = found.select("doc_id", "runs", "collapsed", F.get(ranked, F.lit(0)).alias("x"))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return first.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("x.start").alias("start"),
+        (-F.col("x.l")).alias("length"),
+        F.col("x.period").alias("period"),
+        F.expr("-x.l * 1000 div x.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return alignment.measure(docs, tokenizer("byte_bpe_50k.json"), tokenizer())
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if root not in sys.path:
@@ -181,7 +233,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_sentencepiece, op3_pii, op4_url_filter, op5_katz_lm, op6_quality_rules,
-        op7_decontaminate, op8_near_duplicates, op9_html_text, op10_shards, pipeline,
+        op7_decontaminate, op8_near_duplicates, op9_html_text, op10_shards, op11_toxicity, op12_periods,
+        op13_alignment, pipeline,
     )
 }
 ORACLES = {"op1_chat_format": OP1, "op4_url_filter": OP4}
