@@ -18,6 +18,7 @@ documents are joined by broadcast, of which there are fewer than a thousand.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -125,6 +126,12 @@ class Aligner:
             self.chars += len(segment)
 
 
+@functools.lru_cache(maxsize=1)
+def aligner_of(a_file: str, b_file: str) -> Aligner:
+    """One aligner for each Python worker, whatever the number of its tasks."""
+    return Aligner(a_file, b_file)
+
+
 def _digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -186,7 +193,7 @@ def _aligned(a_file: str, b_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        aligner, serial = Aligner(a_file, b_file), TaskContext.get().partitionId() << 32
+        aligner, serial = aligner_of(a_file, b_file), TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in row_slices(batch, "text", SLICE_BYTES):
                 copies = part.column("copies").to_numpy(zero_copy_only=False)
@@ -231,7 +238,7 @@ def align(docs: DataFrame, a_file: str, b_file: str) -> tuple[DataFrame, DataFra
     """
     texts = docs.groupBy(text_of("text").alias("text")).agg(F.count(F.lit(1)).alias("copies"))
     blocks = stage(texts.mapInArrow(_aligned(a_file, b_file), _BLOCK), "aligned")
-    width = Aligner(a_file, b_file).b.get_piece_size()
+    width = aligner_of(a_file, b_file).b.get_piece_size()
     asked = blocks.select("block", F.posexplode(F.arrays_zip("codes", "weights")).alias("place", "x"))
     asked = asked.select("block", "place", F.col("x.codes").alias("code"), F.col("x.weights").alias("weight"))
     counts = stage(asked.groupBy("code").agg(F.sum("weight").alias("n")), "pair-counts")
