@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from rebalance.functions import draws, euclidean, interpolate, manhattan  # noqa: E402
 from rebalance.functions.vectors import as_vector  # noqa: E402
 from rebalance.operators import encode, neighbors, profile, ranking, scaling, synth  # noqa: E402
+from rebalance.plans import job  # noqa: E402
 from rebalance.plans.balance import balance  # noqa: E402
 from rebalance.sources import keel  # noqa: E402
 from rebalance.staging import new_path  # noqa: E402
@@ -310,6 +312,34 @@ def encode_rows_text(spark, sf):
     )
 
 
+@_query(f"""select concat_ws(',', c_custkey::double, nation_code, segment_code) as value from ({_CODED})""")
+def encode_rows_text_coded(spark, sf):
+    """Text rows with the label as its code."""
+    return encode.encode_rows(
+        _table(spark, sf, "customer"), ["c_custkey", "c_nationkey"], _dictionary(spark, sf), _DICT_COLS,
+        label="c_mktsegment", as_text=True,
+    )
+
+
+_MEASURES = ["l_quantity", "l_extendedprice", "l_tax"]
+
+
+@_query("""select l_orderkey, l_partkey, l_quantity, l_extendedprice, l_tax, l_linenumber::varchar as label,
+  l_linenumber::double as label_code from lineitem""")
+def encode_labeled_numeric(spark, sf):
+    """All columns are numbers; there is no dictionary."""
+    rows = _table(spark, sf, "lineitem")
+    out = encode.encode_labeled(rows, _MEASURES, "l_linenumber", keep=["l_orderkey", "l_partkey"])
+    return encode.explode_features(out, _MEASURES)
+
+
+@_query("select concat_ws(', ', l_quantity, l_extendedprice, l_tax, l_returnflag) as value from lineitem")
+def format_rows_vector(spark, sf):
+    """A vector column and the class as text."""
+    rows = _table(spark, sf, "lineitem").select(as_vector(_MEASURES).alias("features"), "l_returnflag")
+    return keel.format_rows(rows, ["features", "l_returnflag"])
+
+
 @_query("""select event_id, value, user_id::double as user_id,
   case when event_type = 'error' then 1.0::double else 0.0::double end as label from events""")
 def numeric_view(spark, sf):
@@ -417,11 +447,7 @@ _PERCENTAGES = (50, 100, 150, 200)
       select count(*) as num_all, count(*) filter (where toxic = 1) as num_pos,
         count(*) - count(*) filter (where toxic = 1) as num_neg from t)))""" for p in _PERCENTAGES))
 def sampling_plan(spark, sf):
-    t = tox(spark, sf)
-    out = profile.sampling_plan(t, "toxic", 1, _PERCENTAGES[0])
-    for p in _PERCENTAGES[1:]:
-        out = out.unionByName(profile.sampling_plan(t, "toxic", 1, p))
-    return out
+    return profile.sampling_plan(tox(spark, sf), "toxic", 1, _PERCENTAGES)
 
 
 @_query("select c_custkey, c_acctbal, row_number() over (order by c_acctbal, c_custkey) as rank from customer")
@@ -430,6 +456,18 @@ def global_rank(spark, sf):
     return ranking.global_rank(t, "c_acctbal", "c_custkey")
 
 
+@_query("""select l_linestatus as status, busy, min(rank) as first, max(rank) as last, count(distinct rank) as n_ranks
+  from (select l_linestatus, l_quantity > 5 as busy,
+    row_number() over (order by l_quantity > 5, l_linestatus) as rank from lineitem) group by l_linestatus, busy""")
+def global_rank_hot(spark, sf):
+    """Ranks by two columns with four values, the largest of them in nearly half of the rows."""
+    t = _table(spark, sf, "lineitem").select("l_linestatus", (F.col("l_quantity") > 5).alias("busy"))
+    ranked = ranking.global_rank(t, "busy", "l_linestatus")
+    return ranked.groupBy(F.col("l_linestatus").alias("status"), "busy").agg(
+        F.min("rank").alias("first"), F.max("rank").alias("last"), F.count_distinct("rank").alias("n_ranks")
+    )
+
+
 @_query("select count(*) as n_rows, count(*) as n_ids from orders")
 def with_row_id(spark, sf):
     t = ranking.with_row_id(_table(spark, sf, "orders"), "row_id")
@@ -496,6 +534,47 @@ def merge_topk(spark, sf):
     return neighbors.merge_topk(*part, k=5)
 
 
+@_query(f"{_EMB_P} {_knn_sql('q', 'c', _dist_sql('q.v[{}+1]', 'c.v[{}+1]', DIMS))}")
+def merge_topk_overlap(spark, sf):
+    """Partial lists from parts of the corpus that share three classes."""
+    queries, corpus = _emb_sides(spark, sf)
+    part = [
+        neighbors.knn_join(queries, corpus.where(side), id_col="vec_id", vec_col="v")
+        for side in ("label < 7", "label > 3")
+    ]
+    return neighbors.merge_topk(*part, k=5)
+
+
+@_query(f"with p as (select vec_id as id, v from ({EMB})) "
+        f"{_knn_sql('p', 'p', _dist_sql('q.v[{}+1]', 'c.v[{}+1]', DIMS))}")
+def knn_blocks_vectors(spark, sf):
+    """All embeddings, from 16 space cells."""
+    return neighbors.knn_self(emb(spark, sf), id_col="vec_id", vec_col="v", blocks=16)
+
+
+_REPEATED = f"""with {_with_minority(EV, 'event_id', "event_type = 'error'", EV_F)}
+  select id % 97 as id, rank, nbr_id, dist from (
+    select *, (row_number() over (partition by id order by dist, nbr_id))::int as rank from (
+      select q.id as id, c.id % 97 as nbr_id, {_dist_sql('q.f{}', 'c.f{}', 2)} as dist
+      from p q join p c on q.id <> c.id) pairs where dist > 0) ranked where rank <= 5"""
+
+
+def _repeated_ids(spark, sf):
+    rows = _scaled_minority(ev(spark, sf), "event_id", "event_type", "error", EV_F)
+    return rows.withColumn("id", F.col("id") % 97)
+
+
+@_query(_REPEATED)
+def knn_repeated_ids(spark, sf):
+    """Ids that many rows share; each row is searched for itself."""
+    return neighbors.knn_self(_repeated_ids(spark, sf))
+
+
+@_query(_REPEATED)
+def knn_blocks_repeated_ids(spark, sf):
+    return neighbors.knn_self(_repeated_ids(spark, sf), blocks=4)
+
+
 @_query(_self_sql(TOX, "doc_id", "toxic = 1", TOX_F))
 def knn_self(spark, sf):
     return neighbors.knn_self(_scaled_minority(tox(spark, sf), "doc_id", "toxic", 1, TOX_F))
@@ -555,6 +634,12 @@ def smote(spark, sf):
     return synth.smote(tox(spark, sf), "toxic", 1, TOX_F, "doc_id")
 
 
+@_query(_smote_sql(TOX, "doc_id", "toxic = 1", TOX_F, "toxic", "1::int"))
+def smote_partitions(spark, sf):
+    """The minority in three partitions: the same rows."""
+    return synth.smote(tox(spark, sf), "toxic", 1, TOX_F, "doc_id", num_partitions=3)
+
+
 @_query(_smote_sql(LI, "id", "rare = 1", LI_F, "rare", "1::int", 50, 3, "manhattan"))
 def smote_rare(spark, sf):
     return synth.smote(li(spark, sf), "rare", 1, LI_F, "id", k=3, over_pct=50, metric="manhattan")
@@ -596,11 +681,29 @@ def balance_report(spark, sf):
     return profile.balance_report(out, "c_mktsegment", "HOUSEHOLD")
 
 
+@_query("""select c_custkey, c_mktsegment, c_custkey + 9007199254740993 as big, c_nationkey as nation,
+  c_acctbal::float as balance, false as is_synthetic from customer""")
+def balance_keeps_types(spark, sf):
+    """Original rows with a BIGINT feature beyond 2^53, an INT and a FLOAT one."""
+    t = _table(spark, sf, "customer").select(
+        "c_custkey", "c_mktsegment", (F.col("c_custkey") + 9007199254740993).alias("big"),
+        F.col("c_nationkey").alias("nation"), F.col("c_acctbal").cast("float").alias("balance"),
+    )
+    out = balance(t, "c_mktsegment", "HOUSEHOLD", ["big", "nation", "balance"], "c_custkey")
+    return out.where("not is_synthetic")
+
+
 @_query(None)
 def partition_profile(spark, sf):
     return profile.partition_profile(li(spark, sf))
 
 
+@_query("""select count(*) as min_rows, count(*) as max_rows, count(*) as avg_rows, 1::bigint as num_partitions
+  from lineitem""")
+def partition_profile_one(spark, sf):
+    return profile.partition_profile(li(spark, sf).coalesce(1))
+
+
 @_query("select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer")
 def write_round_trip(spark, sf):
     t, path = _table(spark, sf, "customer"), new_path(spark, "round-trip")
@@ -630,6 +733,93 @@ def read_keel(spark, sf):
     return keel.read_keel(spark, keel.parse_header(_KEEL), path)
 
 
+def _header_file(spark, sf):
+    """A header written for the customers, with ranges and classes found in the table."""
+    t = cust(spark, sf)
+    ranges = scaling.collect_ranges(t, CUST_F)
+    labels = encode.category_dictionary(t, ["c_mktsegment"]).orderBy("code").select("label").collect()
+    lines = [
+        "@relation customers",
+        *[f"@attribute {c} real [{lo}, {hi}]" for c, lo, hi in zip(CUST_F, ranges.mins, ranges.maxs, strict=True)],
+        f"@attribute class {{{', '.join(r.label for r in labels)}}}",
+        f"@inputs {', '.join(CUST_F)}",
+        "@outputs class",
+        "@data",
+    ]
+    path = new_path(spark, "keel-header")
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+@_query("""select 2::int as col_idx, 'class' as col_name, label, (row_number() over (order by label) - 1)::double as code
+  from (select distinct c_mktsegment as label from customer)""")
+def read_keel_header(spark, sf):
+    """The classes that a header file declares."""
+    return keel.read_keel_header(spark, _header_file(spark, sf)).dictionary_frame(spark)
+
+
+_MIXED = """select case c_nationkey when 3 then concat_ws(',', c_acctbal, '?', c_mktsegment)
+    when 5 then concat_ws(',', c_acctbal, c_nationkey) when 7 then concat_ws(',', c_acctbal, c_nationkey, 'HOUSHOLD')
+    when 9 then concat_ws(',', c_acctbal, c_nationkey, '9') else concat_ws(',', c_acctbal, c_nationkey, c_mktsegment) end as value,
+  c_nationkey, c_acctbal, c_mktsegment from customer"""
+
+
+def _mixed_file(spark, sf):
+    """The customers as data lines, some with a bad number, a missing field or an undeclared class."""
+    t, nation = cust(spark, sf), F.col("c_nationkey").cast("int")
+    kind = F.when(nation == 7, "HOUSHOLD").when(nation == 9, "9").otherwise(F.col("c_mktsegment"))
+    parts = [F.col("c_acctbal").cast("string"), F.when(nation == 3, "?").otherwise(nation.cast("string"))]
+    path = new_path(spark, "keel-mixed")
+    t.select(F.concat_ws(",", *parts, F.when(nation != 5, kind)).alias("value")).write.text(path)
+    return path
+
+
+@_query(f"""select value, case when c_nationkey = 5 then 'fields' else 'value' end as reason
+  from ({_MIXED}) where c_nationkey in (3, 5, 7, 9)""")
+def read_keel_rejects(spark, sf):
+    schema = keel.read_keel_header(spark, _header_file(spark, sf))
+    return keel.read_keel_rejects(spark, schema, _mixed_file(spark, sf))
+
+
+@_query(f"""select c_acctbal, c_nationkey::double as c_nationkey, c_mktsegment as class
+  from ({_MIXED}) where c_nationkey not in (3, 5, 7, 9)""")
+def read_keel_kept(spark, sf):
+    """What is left of a file with bad lines."""
+    schema = keel.read_keel_header(spark, _header_file(spark, sf))
+    return keel.read_keel(spark, schema, _mixed_file(spark, sf), on_error="reject")
+
+
+_LINE = "concat_ws(', ', c_acctbal, c_nationkey::double, c_mktsegment)"
+
+
+@_query(f"""select {_LINE} as value from customer where c_mktsegment <> 'HOUSEHOLD'
+  union all select 'HOUSEHOLD ' || greatest(count(*) filter (c_mktsegment <> 'HOUSEHOLD'),
+    count(*) filter (c_mktsegment = 'HOUSEHOLD')) from customer""")
+def job_round_trip(spark, sf):
+    """The job from header and data files to text: all other rows as they were, and the minority counted."""
+    data, out = new_path(spark, "keel-data"), new_path(spark, "keel-out")
+    keel.write_balanced(cust(spark, sf), data, columns=[*CUST_F, "c_mktsegment"], delimiter=",")
+    job.run(spark, _header_file(spark, sf), data, out, minority="HOUSEHOLD")
+    lines = spark.read.text(out)
+    rare = F.endswith(F.col("value"), F.lit("HOUSEHOLD"))
+    counted = lines.where(rare).agg(F.concat(F.lit("HOUSEHOLD "), F.count(F.lit(1))).alias("value"))
+    return lines.where(~rare).unionByName(counted)
+
+
+@_query(f"""select greatest(n_neg, n_pos) as num_pos, n_neg as num_neg, greatest(n_neg, n_pos) * 100 // n_neg as pos_pct,
+    100::bigint as neg_pct, num_lines, num_rejected from (
+  select count(*) filter (ok and c_mktsegment = 'HOUSEHOLD') as n_pos,
+    count(*) filter (ok and c_mktsegment <> 'HOUSEHOLD') as n_neg, count(*) as num_lines,
+    count(*) filter (not ok) as num_rejected
+  from (select *, c_nationkey not in (3, 5, 7, 9) as ok from ({_MIXED})))""")
+def job_rejects(spark, sf):
+    """The job over a file with bad lines: final counts, lines read and lines rejected."""
+    return job.run(
+        spark, _header_file(spark, sf), _mixed_file(spark, sf), new_path(spark, "keel-out"),
+        minority="HOUSEHOLD", on_error="reject",
+    )
+
+
 @_query("select * from customer where c_mktsegment = 'HOUSEHOLD'")
 def minority(spark, sf):
     return synth.minority(_table(spark, sf, "customer"), "c_mktsegment", "HOUSEHOLD")
@@ -644,11 +834,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _more() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
-    """The queries of the optional subpackage, if it is there."""
-    try:
-        from rebalance.llm import queries as more
-    except ImportError:
+    """The queries of the optional subpackage, if it is there; its own import errors are raised."""
+    if find_spec("rebalance.llm") is None or find_spec("rebalance.llm.queries") is None:
         return {}, {}
+    from rebalance.llm import queries as more
+
     return more.QUERIES, more.ORACLES
 
 

@@ -40,6 +40,51 @@ from rebalance.sources import (
     well_formed,
     write_balanced,
 )
-from rebalance.staging import drop_staged
+from rebalance.staging import drop_staged, staging_run
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+__all__ = [
+    "KeelSchema",
+    "Ranges",
+    "allocate_copies",
+    "attribute_profile",
+    "balance",
+    "balance_report",
+    "category_dictionary",
+    "class_distribution",
+    "collect_ranges",
+    "decode_label",
+    "distance",
+    "drop_staged",
+    "encode_labeled",
+    "encode_rows",
+    "euclidean",
+    "explode_features",
+    "format_rows",
+    "global_rank",
+    "interpolate",
+    "knn_join",
+    "knn_self",
+    "manhattan",
+    "merge_topk",
+    "minmax_fit",
+    "minmax_inverse",
+    "minmax_transform",
+    "minority",
+    "normalize_declared",
+    "num_classes",
+    "numeric_columns",
+    "numeric_view",
+    "partition_profile",
+    "pick_neighbor",
+    "read_keel",
+    "read_keel_header",
+    "read_keel_rejects",
+    "rejects",
+    "sampling_plan",
+    "smote",
+    "staging_run",
+    "topk_per_key",
+    "well_formed",
+    "with_row_id",
+    "write_balanced",
+]

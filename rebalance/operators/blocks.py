@@ -206,34 +206,49 @@ def _joined(parts):
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
-def nearest(q, c, c_ids, k: int, metric: str, exclude_zero: bool, bound=None):
+def leaves(c: np.ndarray):
+    """The rows of every leaf of a block, with the leaves' boxes; None for a small block."""
+    if len(c) <= 2 * LEAF_ROWS:
+        return None
+    leaf = leaf_of(split_tree(c, len(c) // LEAF_ROWS), c)
+    order = np.argsort(leaf, kind="stable")
+    starts = np.flatnonzero(np.diff(leaf[order], prepend=-1))
+    lo, hi = np.minimum.reduceat(c[order], starts), np.maximum.reduceat(c[order], starts)
+    return np.split(order, starts[1:]), lo, hi
+
+
+def nearest(q, c, c_ids, k: int, metric: str, exclude_zero: bool, bound=None, parts=None):
     """The ``k`` nearest candidates of every query, ordered by (distance, id).
 
     Returns (query row, candidate row, distance), sorted by query and rank.
-    ``bound`` leaves out candidates farther away than that, per query. A large
-    block is cut into leaves, and a query skips the leaves out of its reach.
+    ``bound`` leaves out candidates farther away than that, per query, and queries with
+    no part of the block in reach are left out at once. A large block is cut into
+    leaves (``parts``, if they are at hand), and a query skips those out of its reach.
     """
-    far = np.full(len(q), np.finfo(float).max)
-    limit = far if bound is None else np.minimum(bound, far)
     if not len(q) or not len(c):
         return _joined([])
-    if len(c) <= 2 * LEAF_ROWS:
+    far = np.full(len(q), np.finfo(float).max)
+    limit = far if bound is None else np.minimum(bound, far)
+    if bound is not None:
+        whole = box_gap(q, q, c.min(axis=0)[None], c.max(axis=0)[None], metric)[:, 0]
+        some = np.flatnonzero(whole <= limit)
+        if len(some) < len(q):
+            rows, cols, dist = nearest(q[some], c, c_ids, k, metric, exclude_zero, bound[some], parts)
+            return some[rows], cols, dist
+    parts = parts or leaves(c)
+    if parts is None:
         return _compare(q, c, c_ids, k, metric, exclude_zero, limit)
-    leaf = leaf_of(split_tree(c, len(c) // LEAF_ROWS), c)
-    order = np.argsort(leaf, kind="stable")
-    starts = np.flatnonzero(np.diff(leaf[order], prepend=-1))
-    members = np.split(order, starts[1:])
-    lo, hi = np.minimum.reduceat(c[order], starts), np.maximum.reduceat(c[order], starts)
+    members, lo, hi = parts
     gaps = box_gap(q, q, lo, hi, metric)
     found = _joined([])
     # the nearest leaf, the next few, then all others that are still in reach
     for few in (1, NEAR_LEAVES, len(members)):
         picked = _nearest_columns(gaps, few)
         rows, slots = np.nonzero(np.take_along_axis(gaps, picked, axis=1) <= limit[:, None])
-        leaves = picked[rows, slots]
-        gaps[rows, leaves] = np.inf
+        nodes = picked[rows, slots]
+        gaps[rows, nodes] = np.inf
         out = [found]
-        for number, some in _by_value(leaves, rows):
+        for number, some in _by_value(nodes, rows):
             at = members[number]
             r, i, d = _compare(q[some], c[at], c_ids[at], k, metric, exclude_zero, limit[some])
             out.append((some[r], at[i], d))
@@ -242,6 +257,13 @@ def nearest(q, c, c_ids, k: int, metric: str, exclude_zero: bool, bound=None):
     return found
 
 
+def distinct_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct vectors, and for every row the number of its vector."""
+    x = np.ascontiguousarray(x + 0.0)  # -0.0 is 0.0
+    _, first, back = np.unique(x.view(f"V{8 * x.shape[1]}")[:, 0], return_index=True, return_inverse=True)
+    return x[first], back
+
+
 def _nearest_columns(values: np.ndarray, n: int) -> np.ndarray:
     """Numbers of the n columns with the least values, per row."""
     if n >= values.shape[1]:
@@ -278,8 +300,13 @@ def kth_distance(n_queries: int, rows, dist, k: int) -> np.ndarray:
     return bound
 
 
-def cells_in_reach(x, bound, home, lo, hi, metric: str):
-    """(query row, cell) for every cell whose box is within the query's bound."""
+def cells_in_reach(x, bound, home, lo, hi, pivots, radii, metric: str):
+    """(query row, cell) for every cell that may hold a row within the query's bound.
+
+    A cell is out of reach by its box, or because the query is farther from the cell's
+    pivot than its bound and the cell's radius together. That sum is widened by far
+    more than distances can be rounded.
+    """
     for cell in np.unique(home):
         rows = np.flatnonzero(home == cell)
         qlo, qhi = x[rows].min(axis=0)[None], x[rows].max(axis=0)[None]
@@ -287,6 +314,65 @@ def cells_in_reach(x, bound, home, lo, hi, metric: str):
         step = max(1, TILE // max(1, len(near)))
         for start in range(0, len(rows), step):
             some = rows[start : start + step]
-            gaps = box_gap(x[some], x[some], lo[near], hi[near], metric)
-            r, c = np.nonzero(gaps <= bound[some][:, None])
+            most = bound[some][:, None]
+            inside = box_gap(x[some], x[some], lo[near], hi[near], metric) <= most
+            with np.errstate(over="ignore", invalid="ignore"):
+                away = box_gap(x[some], x[some], pivots[near], pivots[near], metric)
+                slack = 1e-9 * (away + radii[near])
+                inside &= ~(away - radii[near] > most + slack)
+            r, c = np.nonzero(inside)
             yield some[r], near[c]
+
+
+_CELL = ("cell", "n", "lo", "hi", "total")
+
+
+def _summed_by(cell, n, lo, hi, total) -> pa.Table:
+    """One row for each cell from rows of sizes, ends and sums."""
+    order = np.argsort(cell, kind="stable")
+    starts = np.flatnonzero(np.diff(cell[order], prepend=-1))
+    with np.errstate(over="ignore"):
+        sums = np.add.reduceat(total[order], starts)
+    columns = [
+        pa.array(cell[order][starts].astype(np.int32)),
+        pa.array(np.add.reduceat(n[order], starts)),
+        vectors(np.minimum.reduceat(lo[order], starts)),
+        vectors(np.maximum.reduceat(hi[order], starts)),
+        vectors(sums),
+    ]
+    return pa.table(dict(zip(_CELL, columns, strict=True)))
+
+
+def cell_parts(batches):
+    """Size, ends and sums of the cells of every batch of (cell, vec)."""
+    for batch in batches:
+        if batch.num_rows:
+            x = matrix(batch.column("vec"))
+            one = np.ones(len(x), np.int64)
+            yield from _summed_by(batch.column("cell").to_numpy(), one, x, x, x).to_batches()
+
+
+def cell_merged(rows: pa.Table) -> pa.Table:
+    """The parts of one cell put together; there is one for each batch that held the cell."""
+    lo, hi, total = (matrix(rows[c]) for c in ("lo", "hi", "total"))
+    return _summed_by(rows["cell"].to_numpy(), rows["n"].to_numpy(), lo, hi, total)
+
+
+def far_rows(cell_ids: np.ndarray, pivots: np.ndarray, metric: str):
+    """Largest distance from the pivot, for the cells of every batch of (cell, vec)."""
+
+    def run(batches):
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            x, at = matrix(batch.column("vec")), np.searchsorted(cell_ids, cell)
+            with np.errstate(over="ignore"):
+                gaps = np.abs(x - pivots[at])
+                far = gaps.sum(axis=1) if metric == "manhattan" else np.sqrt((gaps * gaps).sum(axis=1))
+            most = np.zeros(len(cell_ids))
+            np.maximum.at(most, at, far)
+            some = np.unique(at)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cell_ids[some].astype(np.int32)), pa.array(most[some])], names=["cell", "far"]
+            )
+
+    return run

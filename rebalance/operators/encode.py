@@ -16,7 +16,7 @@ from pyspark.sql.types import NumericType
 
 from rebalance.functions.text import trimmed
 from rebalance.operators.ranking import global_rank
-from rebalance.operators.scaling import Ranges, scaled
+from rebalance.operators.scaling import scaled
 from rebalance.staging import stage
 
 Dictionary = Mapping[str, Mapping[str, float]] | DataFrame
@@ -204,11 +204,6 @@ def normalize_declared(
     )
 
 
-def declared_ranges(ranges: Mapping[str, tuple[float, float]], columns: Sequence[str]) -> Ranges:
-    """Declared ranges in the form ``minmax_transform`` takes."""
-    return Ranges(tuple(ranges[c][0] for c in columns), tuple(ranges[c][1] for c in columns))
-
-
 def numeric_view(
     df: DataFrame,
     label: str,

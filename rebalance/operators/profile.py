@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import Any
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +39,12 @@ def class_counts(label: str, minority: Any) -> list[Column]:
     ]
 
 
-def budget(counts: DataFrame, over_pct: int, k: int) -> DataFrame:
-    """The plan for a one-row frame with ``num_all`` and ``num_pos``."""
-    numbers = counts.withColumn("num_neg", F.expr("num_all - num_pos"))
-    numbers = numbers.withColumn("target", F.expr(f"num_neg * {int(over_pct)} div 100"))
+def budget(counts: DataFrame, over_pct: int | Sequence[int], k: int) -> DataFrame:
+    """The plan, one row per percentage, for a one-row frame with ``num_all`` and ``num_pos``."""
+    wanted = [over_pct] if isinstance(over_pct, int) else list(over_pct)
+    every = F.array(*[F.lit(int(p)).cast("bigint") for p in wanted])
+    numbers = counts.withColumn("num_neg", F.expr("num_all - num_pos")).withColumn("over_pct", F.explode(every))
+    numbers = numbers.withColumn("target", F.expr("num_neg * over_pct div 100"))
     numbers = numbers.withColumn("num_syn", F.expr("greatest(target - num_pos, 0L)"))
     return numbers.select(
         "num_all",
@@ -50,7 +52,7 @@ def budget(counts: DataFrame, over_pct: int, k: int) -> DataFrame:
         "num_neg",
         F.expr("num_pos * 100 div nullif(num_all, 0)").alias("pos_pct"),
         F.expr("num_neg * 100 div nullif(num_all, 0)").alias("neg_pct"),
-        F.lit(int(over_pct)).cast("bigint").alias("over_pct"),
+        "over_pct",
         "target",
         "num_syn",
         F.expr("num_syn div nullif(num_pos, 0)").alias("base_copies"),
@@ -60,21 +62,22 @@ def budget(counts: DataFrame, over_pct: int, k: int) -> DataFrame:
     )
 
 
-def check_percentage(over_pct: int) -> int:
-    if over_pct <= 0:
+def check_percentage(*over_pct: int) -> None:
+    if not over_pct or min(over_pct) <= 0:
         raise ValueError("over_pct must be greater than 0")
-    return over_pct
 
 
 def sampling_plan(
-    df: DataFrame, label: str, minority: Any, over_pct: int = 100, k: int = 5
+    df: DataFrame, label: str, minority: Any, over_pct: int | Sequence[int] = 100, k: int = 5
 ) -> DataFrame:
-    """One row: counts, target, rows to create and copies per seed.
+    """One row per percentage: counts, target, rows to create and copies per seed.
+
+    However many percentages there are, the table is read once.
 
     The minority is to reach ``floor(num_neg * over_pct / 100)`` rows. Every
     minority row is copied ``base_copies`` times, ``extra_seeds`` of them once more.
     """
-    check_percentage(over_pct)
+    check_percentage(*([over_pct] if isinstance(over_pct, int) else over_pct))
     return budget(df.agg(*class_counts(label, minority)), over_pct, k)
 
 
@@ -101,15 +104,18 @@ def report(counts: DataFrame) -> DataFrame:
 
 
 def partition_profile(df: DataFrame) -> DataFrame:
-    """Rows per partition: least, most, integer mean, and number of partitions."""
+    """Rows per partition: least, most, integer mean, and number of partitions.
 
-    def size(batches):
-        yield pa.RecordBatch.from_pydict({"n": [sum(b.num_rows for b in batches)]})
+    Counted where the rows are, with one row per partition shuffled.
+    """
 
-    sizes = df.select(F.lit(True)).mapInArrow(size, "n bigint")
+    rows = df.select(F.spark_partition_id().alias("part"))
+    every = rows.rdd.getNumPartitions()  # from the plan: empty partitions have no row to be counted by
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    filled = F.count(F.lit(1))
     return sizes.agg(
-        F.min("n").alias("min_rows"),
-        F.max("n").alias("max_rows"),
-        F.expr("sum(n) div count(1)").alias("avg_rows"),
-        F.count(F.lit(1)).alias("num_partitions"),
+        F.when(filled < every, 0).otherwise(F.min("n")).cast("bigint").alias("min_rows"),
+        F.coalesce(F.max("n"), F.lit(0)).cast("bigint").alias("max_rows"),
+        F.coalesce(F.expr(f"sum(n) div {max(every, 1)}"), F.lit(0)).cast("bigint").alias("avg_rows"),
+        F.lit(every).cast("bigint").alias("num_partitions"),
     )

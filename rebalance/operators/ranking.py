@@ -17,15 +17,19 @@ ROW_BITS = 33  # a generated id is the partition number, then 33 bits of row num
 
 
 def global_rank(df: DataFrame, *order_by: str, rank: str = "rank") -> DataFrame:
-    """Dense row number 1..n in the order of ``order_by``.
+    """Dense row number 1..n in the order of ``order_by``; rows alike in it come in any order.
 
-    Rows are range-partitioned, sorted and numbered within their partition, and
-    written, which pins the numbers. The rank adds the number of rows in the
-    partitions before, a table with one row per shuffle partition.
+    Rows first get a written key. They are range-partitioned by ``order_by`` and that
+    key, so a value that most rows hold is split over many tasks; then they are sorted
+    and numbered within their partition, and written, which pins the numbers. The rank
+    adds the number of rows in the partitions before, a table with one row per
+    shuffle partition.
     """
+    keyed = with_row_id(df, "_key")
     numbered = stage(
-        df.repartitionByRange(*order_by)
-        .sortWithinPartitions(*order_by)
+        keyed.repartitionByRange(*order_by, "_key")
+        .sortWithinPartitions(*order_by, "_key")
+        .drop("_key")
         .withColumn("_number", F.monotonically_increasing_id()),
         "ranges",
     )

@@ -42,18 +42,39 @@ def quota_draw(seed: int, id_col: str) -> Column:
     return draws.draw32(draws.digest(seed, "quota", F.col(id_col)))
 
 
-def _gets_one_more(seeds: DataFrame, extra: int, seed: int, id_col: str) -> Column:
-    """True for the ``extra`` rows with the lowest (draw, id).
+def allocate_copies(
+    seeds: DataFrame, num_syn: int, num_pos: int | None = None, seed: int = SEED, id_col: str = "id"
+) -> DataFrame:
+    """``copies`` per seed, adding up to exactly ``num_syn``.
+
+    Every seed gets ``num_syn`` divided by the number of seeds; the remainder goes, one
+    each, to the seeds with the lowest draws. The seeds are counted here; a ``num_pos``
+    that says otherwise is refused, and so is a number to create without seeds.
+    """
+    return seeds.withColumn("copies", _copies(seeds, num_syn, num_pos, seed, id_col))
 
-    A histogram of the draws tells in which bucket the last of them lies; that
-    bucket alone, a 65536th of the rows, is sorted to find it. What is left is
-    a comparison with two literals, and no row has to move.
+
+def _copies(seeds: DataFrame, num_syn: int, num_pos: int | None, seed: int, id_col: str) -> Column:
+    """See ``allocate_copies``.
+
+    A histogram of the draws tells in which bucket the last seed with one copy more
+    lies; that bucket alone, a 65536th of the rows, is sorted to find it. What is left
+    is a comparison with two literals, and no row has to move.
     """
-    if extra == 0:
-        return F.lit(False)
     draw = quota_draw(seed, id_col)
     bucket = F.floor(draw / QUOTA_SHIFT).cast("int")
     counts = seeds.groupBy(bucket.alias("b")).count().orderBy("b").collect()
+    total = sum(row["count"] for row in counts)
+    if num_pos is not None and num_pos != total:
+        raise ValueError(f"{total} seeds, not {num_pos}")
+    if not total:
+        if num_syn:
+            raise ValueError("there are no seeds to copy")
+        return F.lit(0).cast("bigint")
+    base, extra = divmod(num_syn, total)
+    copies = F.lit(base).cast("bigint")
+    if not extra:
+        return copies
     before = 0
     for row in counts:
         if before + row["count"] >= extra:
@@ -67,24 +88,8 @@ def _gets_one_more(seeds: DataFrame, extra: int, seed: int, id_col: str) -> Colu
         .limit(1)
         .first()
     )
-    return (draw < last.d) | ((draw == last.d) & (F.col(id_col) <= F.lit(last.i)))
-
-
-def allocate_copies(
-    seeds: DataFrame, num_syn: int, num_pos: int, seed: int = SEED, id_col: str = "id"
-) -> DataFrame:
-    """``copies`` per seed, adding up to exactly ``num_syn``.
-
-    Every seed gets ``num_syn div num_pos``; the remainder goes, one each, to
-    the seeds with the lowest draws.
-    """
-    return seeds.withColumn("copies", _copies(seeds, num_syn, num_pos, seed, id_col))
-
-
-def _copies(seeds: DataFrame, num_syn: int, num_pos: int, seed: int, id_col: str) -> Column:
-    base, extra = divmod(num_syn, num_pos)
-    more = _gets_one_more(seeds, extra, seed, id_col)
-    return F.lit(base).cast("bigint") + F.when(more, 1).otherwise(0)
+    more = (draw < last.d) | ((draw == last.d) & (F.col(id_col) <= F.lit(last.i)))
+    return copies + F.when(more, 1).otherwise(0)
 
 
 def pick_neighbor(lists: DataFrame, seed: int = SEED, nbrs: str = "nbrs") -> DataFrame:
@@ -122,7 +127,7 @@ def _copied(counted: DataFrame, num_syn: int) -> DataFrame:
 
 def _as_rows(drawn: DataFrame, f: Features, ranges, label: str, label_value: Column) -> DataFrame:
     """Interpolate, put back into original units, and name the columns."""
-    other = F.coalesce("nbr.nbr_vec", "vec")
+    other = F.coalesce("nbr_vec", "vec")
     if f.is_vector:
         features = [unscaled_vector(interpolate("vec", other, "gap"), ranges).alias(f.columns[0])]
     else:
@@ -133,7 +138,7 @@ def _as_rows(drawn: DataFrame, f: Features, ranges, label: str, label_value: Col
     return drawn.select(
         F.col("id").alias("seed_id"),
         F.col("copy"),
-        F.col("nbr.nbr_id").alias("nbr_id"),
+        F.col("nbr_id"),
         F.col("gap"),
         *features,
         label_value.alias(label),
@@ -160,8 +165,8 @@ def smote(
     original units. ``id_col`` must be unique among the minority rows; without
     one, rows are numbered for this call.
 
-    All shuffles carry minority rows. The synthetic rows, which may be far more,
-    come out of the last narrow stage.
+    The search returns ids; neighbours are drawn first, and the vectors of those drawn are
+    looked up by one equi-join, which Spark does by broadcast where the minority is small.
     """
     check_percentage(over_pct)
     check_metric(metric)
@@ -171,6 +176,8 @@ def smote(
         raise ValueError("blocks must be at least 1")
     f = Features.of(df, features)
     label_value = F.lit(minority).cast(df.schema[label].dataType)
+    if id_col and df.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must be an integer column")
     seen = summarize(df, f, is_minority(label, minority))
     numbers = df.sparkSession.sql(f"select {seen.num_all}L as num_all, {seen.num_pos}L as num_pos")
     plan = check_plan(budget(numbers, over_pct, k).first())
@@ -184,20 +191,18 @@ def smote(
     )
     if num_partitions:
         rows = rows.repartition(num_partitions, *(["id"] if id_col else []))
-    if plan.num_syn == 0:
-        seeds = rows if id_col else rows.withColumn("id", F.lit(None).cast("bigint"))
-        none = seeds.limit(0).selectExpr(
-            "id", "vec", "1L as copy", "0D as gap", "struct(id as nbr_id, vec as nbr_vec) as nbr"
-        )
-        return _as_rows(none, f, ranges, label, label_value)
-
     if id_col:
         seeds = stage(rows, "seeds")
         if not seeds.groupBy("id").count().where("count > 1 or id is null").isEmpty():
             raise ValueError(f"{id_col} must be unique and not null among the minority rows")
     else:
         seeds = with_row_id(rows)
-    lists = neighbor_lists(seeds, None, k, metric, blocks=blocks, with_vectors=True)
+    if plan.num_syn == 0:
+        none = seeds.limit(0).selectExpr("id", "vec", "1L as copy", "0D as gap", "id as nbr_id", "vec as nbr_vec")
+        return _as_rows(none, f, ranges, label, label_value)
+    lists = neighbor_lists(seeds, None, k, metric, blocks=blocks)
     counted = lists.withColumn("copies", _copies(seeds, plan.num_syn, plan.num_pos, seed, "id"))
-    copies = _copied(counted, plan.num_syn)
-    return _as_rows(pick_neighbor(copies, seed), f, ranges, label, label_value)
+    drawn = pick_neighbor(_copied(counted, plan.num_syn), seed).select("id", "vec", "copy", "gap", "nbr.nbr_id")
+    vectors = seeds.select(F.col("id").alias("of"), F.col("vec").alias("nbr_vec"))
+    found = drawn.join(vectors, F.col("nbr_id") == F.col("of"), "left")
+    return _as_rows(found, f, ranges, label, label_value)

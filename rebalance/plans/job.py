@@ -9,12 +9,12 @@ import argparse
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
-from rebalance.operators.encode import encode_labeled, explode_features
+from rebalance.operators.encode import decode_label, encode_labeled, explode_features
 from rebalance.operators.profile import class_counts, report
 from rebalance.operators.synth import SEED
 from rebalance.plans.balance import balance
 from rebalance.sources.keel import read_keel, read_keel_header, write_balanced
-from rebalance.staging import drop_staged
+from rebalance.staging import staging_run
 
 
 def run(
@@ -35,26 +35,33 @@ def run(
 ) -> DataFrame:
     """Write the balanced data set to ``output``; returns the final class counts.
 
-    Staged tables of the session are deleted at the end.
+    With the counts come ``num_lines`` and ``num_rejected``: the data lines of the
+    input, and those left out. A class that the header does not declare stops the job, or
+    is rejected. What the job stages is its own and deleted at the end; results made
+    elsewhere in the session stay readable.
     """
     schema = read_keel_header(spark, header)
     if minority not in schema.classes:
         raise ValueError(f"{minority!r} is not one of the classes {schema.classes}")
-    table = read_keel(spark, schema, path, input_delimiter, on_error)
-    encoded = encode_labeled(table, schema.features, schema.label, schema.dictionary, on_error=on_error)
-    named = encoded.drop("label_code").withColumnRenamed("label", schema.label)
-    rows = explode_features(named, schema.features)
-    out = balance(
-        rows, schema.label, minority, schema.features,
-        k=k, over_pct=over_pct, seed=seed, blocks=blocks, num_partitions=num_partitions,
+    with staging_run(spark):
+        read, written = Observation(), Observation()
+        table = read_keel(spark, schema, path, input_delimiter, on_error, read)
+        encoded = encode_labeled(table, schema.features, schema.label, schema.dictionary, on_error=on_error)
+        # a class may be given by its code
+        named = decode_label(encoded.drop("label"), "label_code", schema.dictionary, schema.label, schema.label)
+        rows = explode_features(named.drop("label_code"), schema.features)
+        out = balance(
+            rows, schema.label, minority, schema.features,
+            k=k, over_pct=over_pct, seed=seed, blocks=blocks, num_partitions=num_partitions,
+        )
+        # counted while they are written
+        out = out.observe(written, *class_counts(schema.label, minority))
+        write_balanced(out, output, format, [*schema.features, schema.label], delimiter)
+        lines, counts = read.get, written.get
+    numbers = spark.sql(f"select {counts['num_all']}L as num_all, {counts['num_pos']}L as num_pos")
+    return report(numbers).selectExpr(
+        "*", f"{lines['num_lines']}L as num_lines", f"{lines['num_rejected']}L as num_rejected"
     )
-    # counted while they are written
-    seen = Observation()
-    out = out.observe(seen, *class_counts(schema.label, minority))
-    write_balanced(out, output, format, [*schema.features, schema.label], delimiter)
-    drop_staged(spark)
-    counts = seen.get
-    return report(spark.sql(f"select {counts['num_all']}L as num_all, {counts['num_pos']}L as num_pos"))
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -152,13 +152,27 @@ def rejects(lines: DataFrame, width: int, delimiter: str = ",", value: str = "va
     )
 
 
+def _declared(attribute: Attribute, text: Column) -> Column:
+    """True for declared labels and for numbers; of a class, for the codes of its labels."""
+    number = text.try_cast("double")
+    if attribute.kind == "class":
+        coded = number.isin(*[float(j) for j in range(len(attribute.labels))])
+    else:
+        coded = number.isNotNull()
+    return F.coalesce(text.isin(*attribute.labels) | coded, F.lit(False))
+
+
 def _parsed(lines: DataFrame, schema: KeelSchema, delimiter: str, on_error: str) -> DataFrame:
     parts = F.split("value", re.escape(delimiter))
     columns = []
     for j, (attribute, field) in enumerate(zip(schema.attributes, schema.struct_type(), strict=True)):
-        text = trimmed(parts[j])
+        text = trimmed(F.get(parts, F.lit(j)))
         if attribute.kind == "numeric":
             text = text.cast("double") if on_error == "fail" else text.try_cast("double")
+        elif on_error == "fail" and attribute.labels:
+            # within the column itself, so that no plan that reads the label can leave it out
+            unknown = F.raise_error(F.concat(F.lit(f"undeclared label of {attribute.name}: "), text))
+            text = F.when(_declared(attribute, text), text).otherwise(unknown)
         columns.append(text.alias(attribute.name, metadata=field.metadata))
     return lines.select("value", *columns)
 
@@ -168,8 +182,7 @@ def _known(schema: KeelSchema) -> Column:
     good = F.lit(True)
     for a in schema.attributes:
         c = F.col(a.name)
-        declared = c.isin(*a.labels) | c.try_cast("double").isNotNull() if a.labels else c.isNotNull()
-        good = good & F.coalesce(declared, F.lit(False))
+        good = good & (_declared(a, c) if a.labels else c.isNotNull())
     return good
 
 
@@ -179,21 +192,37 @@ def read_keel(
     path: str | Sequence[str],
     delimiter: str = ",",
     on_error: str = "fail",
+    observation: Observation | None = None,
 ) -> DataFrame:
     """The data file as typed columns: DOUBLE for numbers, STRING for labels.
 
     Empty lines, ``@`` lines and lines with too few or too many fields are left
-    out. A value that is no number stops the job, or with
-    ``on_error='reject'`` leaves out its row; ``read_keel_rejects`` lists both.
-    Splits follow ``spark.sql.files.maxPartitionBytes`` and ``minPartitionNum``.
+    out. A value that is no number, and a label that is neither declared nor a number
+    (for the class: nor a code), stops the job, or with ``on_error='reject'`` leaves
+    out its row; ``read_keel_rejects`` lists both. ``observation`` receives, with the
+    first job that reads the table, ``num_lines`` and ``num_rejected``: data lines, and
+    those of them left out. Splits follow ``spark.sql.files.maxPartitionBytes`` and
+    ``minPartitionNum``.
     """
     if on_error not in ("fail", "reject"):
         raise ValueError("on_error must be 'fail' or 'reject'")
-    lines = well_formed(spark.read.text(path), len(schema.attributes), delimiter)
-    parsed = _parsed(lines, schema, delimiter, on_error)
-    if on_error == "reject":
-        parsed = parsed.where(_known(schema))
-    return parsed.drop("value")
+    width = len(schema.attributes)
+    lines = spark.read.text(path).where(~_is_directive(F.col("value")))
+    if observation is None and on_error == "fail":
+        return _parsed(well_formed(lines, width, delimiter), schema, delimiter, on_error).drop("value")
+    flagged = _parsed(lines, schema, delimiter, "reject")
+    good = _fits(F.col("value"), width, delimiter)
+    good = good & _known(schema) if on_error == "reject" else good
+    flagged = lines.select("value", F.lit(True).alias("_line")) if on_error == "fail" else flagged
+    marked = flagged.withColumn("_good", good)
+    if observation is not None:
+        marked = marked.observe(
+            observation, F.count(F.lit(1)).alias("num_lines"), F.count_if(~F.col("_good")).alias("num_rejected")
+        )
+    kept = marked.where("_good")
+    if on_error == "fail":
+        kept = _parsed(kept, schema, delimiter, on_error)
+    return kept.select(*[F.col(f"`{c}`") for c in schema.columns])
 
 
 def read_keel_rejects(

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -25,21 +28,71 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-_written: list[str] = []
+_written: list[str] = []  # outside any run
+_run: ContextVar[str | None] = ContextVar("run", default=None)
+_seen: set[tuple[str, str]] = set()
+
+
+def _check_shared(spark: SparkSession, folder: str) -> None:
+    """Refuse a folder of the driver's own disk on a cluster.
+
+    A ``file:`` folder may be a mount that all machines share. So the driver writes a
+    marker there once, and an executor has to find it.
+    """
+    app = (spark.sparkContext.applicationId, folder)
+    if spark.sparkContext.master.split("[")[0] == "local" or app in _seen:
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/marker-{uuid.uuid4().hex}.txt")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getScheme() == "file":
+        out = fs.create(path)
+        out.write(b"shared\n")
+        out.close()
+        try:
+            found = spark.read.text(path.toString()).count()
+        except Exception as e:  # the reader's own words vary
+            raise ValueError(f"{folder} is not shared with the executors") from e
+        if found != 1:
+            raise ValueError(f"{folder} is not shared with the executors")
+        fs.delete(path, False)
+    _seen.add(app)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = checkpoint_dir(spark).rstrip("/")
+    _check_shared(spark, folder)
+    if _run.get():
+        return f"{_run.get()}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_staged(spark: SparkSession) -> None:
-    """Delete the tables staged so far, once no result that reads them is needed."""
-    conf = spark._jsc.hadoopConfiguration()
+    """Delete the tables staged so far outside of runs, once no result that reads them is needed."""
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _written.pop())
+
+
+@contextmanager
+def staging_run(spark: SparkSession) -> Iterator[str]:
+    """A folder for all that is staged inside the block, deleted at its end.
+
+    Results made in the block must have been written by then. What was staged outside
+    the block, or in a run around it, stays.
+    """
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+    token = _run.set(folder)
+    try:
+        yield folder
+    finally:
+        _run.reset(token)
+        _delete(spark, folder)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
