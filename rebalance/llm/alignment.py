@@ -22,6 +22,7 @@ import functools
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from rebalance.llm.common import row_slices, text_of
 from rebalance.staging import stage, stage_observed
 
 SLICE_BYTES = 4 << 20
-REMEMBERED_CHARS = 3_000_000  # characters of the segments a Python worker remembers
+REMEMBERED_CHARS = 2_500_000  # characters of the segments in one generation of a Python worker's memory
 HOT_SHARE = 1000  # a text is hot if over a thousandth of all rows hold it
 BLANK = "▁"
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -67,7 +68,7 @@ class Aligner:
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         whole = any(BLANK in self.b.id_to_piece(i).lstrip(BLANK) for i in range(self.b.get_piece_size()))
         self.cut = None if whole else CUT
-        self.known: dict[str, tuple] = {}
+        self.known: tuple[dict[str, tuple | None], dict[str, tuple | None]] = ({}, {})
         self.chars = 0
 
     @staticmethod
@@ -91,14 +92,20 @@ class Aligner:
         if b"".join(a_text) != raw or b"".join(b_text) != raw:
             return None
         size = len(self.b_bytes)
+        if len(a) == 1 or len(b) == 1:
+            links = [a[0] * size + y for y in b] if len(a) == 1 else [x * size + b[0] for x in a]
+            return len(a), len(b), 1, f"{','.join(map(str, a))}|{','.join(map(str, b))}", array("q", links).tobytes()
         groups, links = [], []
         i = j = a_from = b_from = 0
         a_end, b_end = len(a_text[0]), len(b_text[0])
         while True:
             links.append(a[i] * size + b[j])
             if a_end == b_end:
-                groups.append(f"{','.join(map(str, a[a_from : i + 1]))}|{','.join(map(str, b[b_from : j + 1]))}")
                 i, j = i + 1, j + 1
+                if i - a_from == j - b_from == 1:
+                    groups.append(f"{a[a_from]}|{b[b_from]}")
+                else:
+                    groups.append(f"{','.join(map(str, a[a_from:i]))}|{','.join(map(str, b[b_from:j]))}")
                 if i == len(a):
                     break
                 a_from, b_from = i, j
@@ -109,21 +116,34 @@ class Aligner:
             else:
                 j += 1
                 b_end += len(b_text[j])
-        return len(a), len(b), len(groups), ";".join(groups), np.array(links, np.int64).tobytes()
-
-    def learn(self, fresh: list[str]) -> None:
-        """Align segments; None for those whose bytes do not come back."""
+        return len(a), len(b), len(groups), ";".join(groups), array("q", links).tobytes()
+
+    def learn(self, distinct: list[str]) -> dict[str, tuple | None]:
+        """The alignment of every segment; None for those whose bytes do not come back.
+
+        Two generations are remembered: once the younger is full it becomes the older, and
+        what is met again moves to the younger.
+        """
+        out, fresh = {}, []
+        young, old = self.known
+        for segment in distinct:
+            if segment in young:
+                out[segment] = young[segment]
+            elif segment in old:
+                out[segment] = young[segment] = old[segment]
+                self.chars += len(segment)
+            else:
+                fresh.append(segment)
+        if fresh:
+            theirs = self.a.encode_batch(fresh, add_special_tokens=False)
+            pieces = self.b.encode([p[1:] for p in fresh], num_threads=1)
+            for segment, x, b in zip(fresh, theirs, pieces):
+                a = x.ids
+                out[segment] = young[segment] = self.align(a, b, segment.encode()) if a and b else None
+                self.chars += len(segment)
         if self.chars > REMEMBERED_CHARS:
-            self.known.clear()
-            self.chars = 0
-        if not fresh:
-            return
-        theirs = self.a.encode_batch(fresh, add_special_tokens=False)
-        pieces = self.b.encode([p[1:] for p in fresh], num_threads=1)
-        for segment, x, b in zip(fresh, theirs, pieces):
-            a = x.ids
-            self.known[segment] = self.align(a, b, segment.encode()) if a and b else None
-            self.chars += len(segment)
+            self.known, self.chars = ({}, young), 0
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -140,11 +160,9 @@ def _aligned(a_file: str, b_file: str):
     def block(aligner: Aligner, number: int, texts: list[str], copies: np.ndarray) -> pa.RecordBatch:
         cut = [aligner.segments(t) if t else [] for t in texts]
         distinct = dict.fromkeys(p for parts in cut for p in parts)
-        known = aligner.known
-        # whatever the memory loses now is wanted in this block
-        aligner.learn([p for p in distinct if p not in known] if aligner.chars <= REMEMBERED_CHARS else list(distinct))
+        learnt = aligner.learn(list(distinct))
         place = {p: i for i, p in enumerate(distinct)}
-        good = [known[p] for p in distinct]
+        good = [learnt[p] for p in distinct]
         segments = [x or (0, 0, 0, "", b"") for x in good]
         counts = np.array([x[:3] + (len(x[4]) // 8,) for x in segments], np.int64).reshape(-1, 4)
         strings = [x[3] for x in segments]

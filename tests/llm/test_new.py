@@ -168,10 +168,12 @@ def test_alignment_counts_and_forgetting(spark):
     _, counts = alignment.align(rows, *FILES)
     assert sorted(r.n for r in counts.collect()) == [2, 3]
     aligner = alignment.Aligner(*FILES)
-    aligner.learn([" one"])
+    first = aligner.learn([" one", " two"])
     aligner.chars = alignment.REMEMBERED_CHARS + 1
-    aligner.learn([" two"])
-    assert list(aligner.known) == [" two"]
+    assert aligner.learn([" one"]) == {" one": first[" one"]}
+    assert [list(x) for x in aligner.known] == [[], [" one", " two"]]
+    assert aligner.learn([" two", " three"])[" two"] == first[" two"]
+    assert [list(x) for x in aligner.known] == [[" two", " three"], [" one", " two"]]
 
 
 def test_alignment_on_hard_and_empty_tables(hard, empty):
