@@ -15,9 +15,9 @@ adds one number, which is remembered; a text adds up its words.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +43,16 @@ SLICE_BYTES = 4 << 20
 
 def entries(word: bytes) -> list[int]:
     """Buckets of a lower-cased word and its n-grams."""
-    text = "<" + word.decode("utf-8", "replace") + ">"
-    n = len(text)
-    grams = [text[i : i + k] for k in range(SHORTEST, LONGEST + 1) for i in range(n - k + 1)]
+    raw = b"<%b>" % word
+    cuts = range(len(raw) + 1)  # where characters begin
+    if not raw.isascii():
+        cuts = [i for i, byte in enumerate(raw) if byte & 0xC0 != 0x80] + [len(raw)]
+    n = len(cuts) - 1
+    sizes = range(SHORTEST, min(LONGEST, n) + 1)
+    out = [crc32(raw[a:b]) % BUCKETS for k in sizes for a, b in zip(cuts, cuts[k:])]
     if n > LONGEST:
-        grams.append(text)
-    return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
+        out.append(crc32(raw) % BUCKETS)
+    return out
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -154,9 +158,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, learnt: Column) -> DataFra
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(learnt)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    turn = F.struct(F.xxhash64("doc_id", F.lit(SEED)).alias("turn"), F.col("doc_id"))
-    picked = known.withColumn("n", F.row_number().over(Window.partitionBy("toxic").orderBy(turn))).where(F.col("n") <= TRAIN_ROWS)
-    # at most 2 * TRAIN_ROWS rows
+    known = known.withColumn("turn", F.xxhash64("doc_id", F.lit(SEED)))
+    # each task finds its own first rows; at most 2 * TRAIN_ROWS are left
+    first = [known.where(F.col("toxic") == t).orderBy("turn", "doc_id").limit(TRAIN_ROWS) for t in (0, 1)]
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy("turn", "doc_id"))
+    picked = first[0].unionByName(first[1]).withColumn("n", place)
     texts = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(picked), "doc_id")
     one = texts.groupBy("doc_id", "toxic", "n").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
     so_far = Window.partitionBy(F.lit(1)).orderBy("n", "toxic").rowsBetween(Window.unboundedPreceding, Window.currentRow)
