@@ -159,6 +159,28 @@ def _scan(items: list[tuple[int, str]], rate: float):
     return run
 
 
+def _without(items: list[tuple[int, str]], rate: float):
+    """The rows of every batch in which no item is found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(items, rate)
+        for batch in batches:
+            clean = [not (text and matcher.find(text)) for text in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
+def _chunks(benchmark: DataFrame, chunk_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The items, normalised, in lists of about ``chunk_chars`` characters; at least one list."""
+    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    chunks = max(1, -(-total // chunk_chars))
+    for c in range(chunks):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == c).collect()
+        yield sorted({(r.item_id, normalize(r.text)) for r in part}, key=lambda x: (x[0] is None, x))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, *, rate: float = EDIT_RATE, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, distance, start, end.
 
@@ -168,21 +190,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, rate: float = EDIT_RATE, c
     and items without a letter or digit, match nothing. Repeated rows each give
     their own result; an item text that several ids share is found for each.
     """
-    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    chunks = max(1, -(-total // chunk_chars))
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     found = None
-    for c in range(chunks):
-        # a chunk holds about chunk_chars characters, so it fits the driver and each task
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == c).collect()
-        own = sorted({(r.item_id, normalize(r.text)) for r in part}, key=lambda x: (x[0] is None, x))
+    for own in _chunks(benchmark, chunk_chars):
         hits = rows.mapInArrow(_scan(own, rate), SCHEMA)
         found = hits if found is None else found.unionByName(hits)
     return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows in which an item is found; rows without id stay."""
-    bad = matches(docs, benchmark, **options).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, *, rate: float = EDIT_RATE, chunk_chars: int = CHUNK_CHARS
+) -> DataFrame:
+    """``docs``, all its columns, without the rows in whose text an item is found.
+
+    Every row is judged by its own text, so ids may be missing or repeat. The chunks of a
+    large benchmark are taken one after the other in one pass over the documents.
+    """
+    for own in _chunks(benchmark, chunk_chars):
+        docs = docs.mapInArrow(_without(own, rate), docs.schema)
+    return docs

@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rebalance.llm.common import byte_texts, row_slices
+from rebalance.llm.common import byte_texts, row_slices, text_of
+from rebalance.operators.ranking import with_row_id
 from rebalance.staging import stage
 
 SLOTS, ROWS = 64, 4
@@ -134,7 +135,7 @@ def band_keys(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _signed(width: int, slots: int, rows: int):
+def _signed(width: int, slots: int, rows: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
@@ -144,14 +145,14 @@ def _signed(width: int, slots: int, rows: int):
                 sizes = np.diff(offsets)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id").cast(pa.int64()),
+                        *[part.column(c) for c in names],
                         pa.array(sizes),
                         pa.array(set_digests(values, offsets), pa.binary()),
                         pa.ListArray.from_arrays(
                             pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel())
                         ),
                     ],
-                    names=["doc_id", "n_shingles", "cls", "bands"],
+                    names=[*names, "n_shingles", "cls", "bands"],
                 )
 
     return run
@@ -203,16 +204,9 @@ def _forest(width: int, percent: int):
 
     def solve(rows: list[tuple[bytes, bytes]], hashes: WordHashes) -> list[tuple[bytes, bytes]]:
         texts = list(dict(rows).items())
-        values, offsets = shingle_sets([t for _, t in texts], width, hashes)
-        # a repeated doc_id can bring a text of another class: leave that out
-        names = set_digests(values, offsets)
-        right = [i for i, (c, _) in enumerate(texts) if names[i] == c]
-        if len(right) < len(texts):
-            own = [texts[i] for i in right]
-            values, offsets = shingle_sets([t for _, t in own], width, hashes)
-            texts = own
         if len(texts) < 2:
             return []
+        values, offsets = shingle_sets([t for _, t in texts], width, hashes)
         roots = _roots(len(texts), map(tuple, linked(values, offsets, percent).tolist()))
         return [(texts[i][0], texts[r][0]) for i, r in enumerate(roots) if i != r]
 
@@ -271,8 +265,8 @@ def components(edges: DataFrame) -> DataFrame:
         last = state
 
 
-def _slot(doc_id: str):
-    return F.pmod(F.xxhash64(doc_id), F.lit(SLOT_COUNT)).cast("int")
+def _slot(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(SLOT_COUNT)).cast("int")
 
 
 def near_duplicates(
@@ -282,27 +276,40 @@ def near_duplicates(
     percent: int = MIN_PERCENT,
     slots: int = SLOTS,
     rows: int = ROWS,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``: doc_id, n_shingles, component_id, kept.
 
     Words are parted by ASCII blanks, A-Z is lower-cased. Fewer than ``width``
     words make one shingle; a null or blank text has none and is alone. Links
     need ``100 * both >= percent * either``. component_id is the smallest doc_id
-    of the component, and ``kept`` marks it. Repeated ids stay rows of their
-    own; a row without id takes part in its group and is kept only when
-    no row of the group has an id. Other columns of ``docs`` are ignored.
+    of the component, and ``kept`` marks it. Texts are told apart by a digest of
+    their own, never by id: rows with one id stay rows of their own, and each is linked
+    by its text; a row without id takes part in its group and is kept only when no
+    row of the group has an id. ``keep`` names columns of ``docs`` to pass on,
+    followed by ``grp``, the same for all rows of a component and null for texts without
+    shingles. Other columns are ignored.
     """
-    texts = docs.select("doc_id", "text")
+    key = F.unhex(F.md5(F.encode(text_of("text"), "UTF-8"))).alias("key")
+    texts = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), key, "text")
+    own = [f for f in texts.schema.fields if f.name != "text"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
     signed = stage(
-        texts.mapInArrow(_signed(width, slots, rows), "doc_id long, n_shingles long, cls binary, bands array<long>"),
+        texts.mapInArrow(
+            _signed(width, slots, rows, [f.name for f in own]),
+            f"{schema}, n_shingles long, cls binary, bands array<long>",
+        ),
         "signed",
     )
     full = signed.where("n_shingles > 0")
     classes = full.groupBy("cls").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("doc_id"),
+        F.min("key").alias("key"),
+        F.first("n_shingles").alias("n"),
+        F.first("bands").alias("bands"),
     )
     classes = stage(classes, "classes")
-    met = classes.select("cls", "doc_id", "n", F.explode("bands").alias("bkey"))
+    met = classes.select("cls", "key", "n", F.explode("bands").alias("bkey"))
     sums = met.groupBy("bkey").agg(
         F.count("*").alias("docs"),
         F.sum("n").alias("shingles"),
@@ -313,24 +320,39 @@ def near_duplicates(
     groups = groups.select("bkey", F.least(parts, F.col("docs")).cast("int").alias("parts"))
     members = met.join(groups, "bkey").withColumn("own", F.pmod(F.xxhash64("cls", "bkey"), "parts").cast("int"))
     dealt = members.select(
-        "bkey", "cls", "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    ).select("bkey", "cls", "doc_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        "bkey", "cls", "key", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    ).select("bkey", "cls", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     dealt = stage(dealt, "tiles")
     # texts of hash slots without a candidate need not move; there are SLOT_COUNT slots at most
-    slots = dealt.select(_slot("doc_id").alias("slot")).distinct()
-    known = texts.select(F.col("doc_id").alias("source_id"), "text", _slot("doc_id").alias("slot"))
-    known = known.where(F.col("text").isNotNull()).join(F.broadcast(slots), "slot", "left_semi")
-    same = F.col("doc_id").eqNullSafe(F.col("source_id"))
-    tiles = dealt.join(known, same).select("bkey", "i", "j", "cls", "text")
+    slots = dealt.select(_slot("key").alias("slot")).distinct()
+    known = docs.select(key, "text").withColumn("slot", _slot("key")).where(F.col("text").isNotNull())
+    known = known.join(F.broadcast(slots), "slot", "left_semi")
+    # copies of a text become one before they move
+    known = known.groupBy("key").agg(F.first("text").alias("text"))
+    tiles = dealt.join(known, "key").select("bkey", "i", "j", "cls", "text")
     tiles = tiles.repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j")
     links = components(tiles.mapInArrow(_forest(width, percent), "u binary, v binary"))
     rooted = classes.join(links, F.col("cls") == F.col("node"), "left").select(
         "cls", "doc_id", F.coalesce("root", "cls").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = rooted.join(least, "root").select("cls", "component_id")
-    named = stage(named, "components")
-    grouped = full.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
-    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    result = grouped.select("doc_id", "n_shingles", "component_id").unionByName(alone)
-    return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = stage(rooted.join(least, "root").select("cls", "component_id", F.col("root").alias("grp")), "components")
+    out = [*keep, "doc_id", "n_shingles", "component_id", *(["grp"] if keep else [])]
+    grouped = full.select(*keep, "doc_id", "n_shingles", "cls").join(named, "cls", "left").select(*out)
+    alone = signed.where("n_shingles = 0")
+    alone = alone.withColumns({"component_id": F.col("doc_id"), "grp": F.lit(None).cast("binary")}).select(*out)
+    return grouped.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each component, the one with the smallest id; options as above.
+
+    Rows, not ids, are chosen: of rows that share the smallest id one stays, rows without
+    id come after all others, and rows without shingles all stay.
+    """
+    rows = with_row_id(docs, "_row")
+    grouped = stage(near_duplicates(rows, keep=("_row",), **options).select("_row", "doc_id", "grp"), "grouped")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = grouped.where("grp is not null").groupBy("grp").agg(F.min(order).alias("x")).select("x._row")
+    stays = first.unionByName(grouped.where("grp is null").select("_row"))
+    return rows.join(stays, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -34,7 +34,8 @@ PATTERNS = {
 }
 #: A text without this string has no match.
 NEEDS = {"email": "@", "phone": "+"}
-OCTETS = r"^0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
+#: Four parts of at most 255; zeros in front do not count, and a part may be all zeros.
+OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
 GAZETTEER = {
     "email": r"\.(?:com|org|net|edu|gov|io|de|fr|es|uk)$",
     "ip": r"^(?!0|10\.|127\.|169\.254\.|192\.168\.|22[4-9]|2[3-5])",
@@ -50,6 +51,7 @@ CONTEXT = {
     "secret": r"(?i)(?:password|passwd|pwd|token|secret|key|credential)s?\s{0,2}[=:]\s{0,2}[\"']?$",
 }
 BEFORE = 24  # characters before a span that the context labeler sees
+PART = 64  # spans whose places are added up together
 FEATURES = 1024
 LABELERS = 4
 ROUNDS = 30
@@ -85,39 +87,62 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _cut(items: Column) -> Column:
+    """An array as an array of parts of ``PART`` items; adding to an array copies it."""
+    parts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / PART).cast("int"))
+    return F.transform(parts, lambda i: F.slice(items, i * PART + 1, F.lit(PART)))
+
+
+def _before(parts: Column, total, join, first: Column) -> Column:
+    """For every part what ``join`` makes of the totals of the parts before it."""
+    begin = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(state: Column, part: Column) -> Column:
+        return F.struct(join(state["at"], total(part)).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+
+    return F.aggregate(parts, begin, step, lambda s: s["out"])
+
+
 def matches(text: Column, kind: str) -> Column:
     """Array of (kind, start, end, value, before) of all valid matches, in code points.
 
-    The parts between matches and the matches themselves give the places.
+    The parts between matches and the matches themselves give the places. ``before`` is
+    what stands between a match and the one before it, ``BEFORE`` characters at most.
     """
     pattern = PATTERNS[kind]
+    shape = "array<struct<start:int,end:int,value:string,before:string>>"
 
-    def placed(hits: Column) -> Column:
-        gaps = F.split(text, pattern)
-        both = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("value")))
-        begin = F.struct(
-            F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("out")
-        )
+    def places(part: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast(shape).alias("out"))
 
         def step(state: Column, x: Column) -> Column:
-            start = state["at"] + x["gap"]
+            start = state["at"] + F.length(x["gap"])
             end = start + F.coalesce(F.length(x["value"]), F.lit(0))
-            span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
+            before = F.right(x["gap"], F.lit(BEFORE)).alias("before")
+            span = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), before)
             out = F.when(x["value"].isNotNull() & valid(kind, x["value"]), F.concat(state["out"], F.array(span)))
             return F.struct(end.alias("at"), out.otherwise(state["out"]).alias("out"))
 
-        spans = F.aggregate(both, begin, step, lambda s: s["out"])
+        return F.aggregate(part, begin, step)
+
+    def moved(part: Column, by: Column) -> Column:
         return F.transform(
-            spans,
+            part["out"],
             lambda s: F.struct(
-                s["kind"].alias("kind"),
-                s["start"].alias("start"),
-                s["end"].alias("end"),
+                F.lit(kind).alias("kind"),
+                (s["start"] + by).alias("start"),
+                (s["end"] + by).alias("end"),
                 s["value"].alias("value"),
-                F.substring(text, F.greatest(s["start"] - BEFORE, F.lit(0)) + 1, F.least(s["start"], F.lit(BEFORE))).alias("before"),
+                s["before"].alias("before"),
             ),
         )
 
+    def placed(hits: Column) -> Column:
+        both = F.zip_with(F.split(text, pattern), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("value")))
+        parts = _let(both, lambda x: F.transform(_cut(x), places))
+        shifts = lambda x: _before(x, lambda part: part["at"], lambda a, b: a + b, F.lit(0))
+        return _let(parts, lambda x: F.flatten(F.zip_with(x, shifts(x), moved)))
+
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string>>")
     found = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda h: F.when(F.size(h) > 0, placed(h)).otherwise(none))
     if kind in NEEDS:
@@ -258,16 +283,31 @@ def listed(spans: Column) -> Column:
 def masked(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by its kind in brackets; overlapping spans become one."""
     ordered = F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("a"), x["end"].alias("b"), x["kind"].alias("k"))))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(state: Column, x: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, F.greatest(x["a"] - state["at"], F.lit(0)))
-        fresh = F.concat(state["out"], F.array(gap, F.concat(F.lit("["), x["k"], F.lit("]"))))
-        return F.struct(
-            F.greatest(state["at"], x["b"]).alias("at"), F.when(x["a"] >= state["at"], fresh).otherwise(state["out"]).alias("out")
-        )
+    def last(part: Column) -> Column:
+        return F.array_max(F.transform(part, lambda x: x["b"]))
+
+    def written(part: Column, at: Column) -> Column:
+        """The text from ``at`` to the end of the part's last span, which is cut out once."""
+
+        def run(own: Column) -> Column:
+            begin = F.struct(at.alias("at"), F.array().cast("array<string>").alias("out"))
+
+            def step(state: Column, x: Column) -> Column:
+                gap = F.substring(own, state["at"] - at + 1, F.greatest(x["a"] - state["at"], F.lit(0)))
+                fresh = F.concat(state["out"], F.array(gap, F.concat(F.lit("["), x["k"], F.lit("]"))))
+                return F.struct(
+                    F.greatest(state["at"], x["b"]).alias("at"),
+                    F.when(x["a"] >= state["at"], fresh).otherwise(state["out"]).alias("out"),
+                )
+
+            return F.aggregate(part, begin, step, lambda s: F.array_join(s["out"], ""))
+
+        return _let(F.substring(text, at + 1, F.greatest(last(part) - at, F.lit(0))), run)
 
-    def finish(state: Column) -> Column:
-        return F.concat(F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.length(text)))
+    def whole(parts: Column) -> Column:
+        starts = _before(parts, last, lambda a, b: F.greatest(a, b), F.lit(0))
+        end = F.array_max(F.transform(parts, last))
+        return F.concat(F.array_join(F.zip_with(parts, starts, written), ""), F.substring(text, end + 1, F.length(text)))
 
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, begin, step, finish)).otherwise(text)
+    return F.when(F.size(spans) > 0, _let(_let(ordered, _cut), whole)).otherwise(text)

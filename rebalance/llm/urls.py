@@ -65,24 +65,28 @@ def judge(pages: DataFrame, rules: DataFrame, *, default: str = "allow") -> Data
 
     ``rules(host, path, verdict)``: verdict ``allow`` or ``block``; ``default``
     stands where no rule fits. Rules without host or verdict are left out. Other
-    columns of ``pages`` are ignored; repeated rows are all judged. The distinct
+    columns of ``pages`` are ignored; repeated rows are all judged, and pages meet their
+    verdict by host and path, so neither ids nor row numbers matter. The distinct
     shapes of the rules are gathered first (a few numbers each); Spark broadcasts
     the rules only when their size allows it.
     """
     host, path = host_and_path(F.col("url"))
     ready = prepare(rules)
     shapes = [(r.labels, r.path_chars) for r in ready.select("labels", "path_chars").distinct().collect()]
-    urls = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", host.alias("host"), path.alias("path"))
-    judged = urls.select("*", F.array(*[F.struct(F.lit(a).alias("l"), F.lit(b).alias("c")) for a, b in sorted(shapes)]).alias("shapes")) \
-        if shapes else urls.withColumn("shapes", F.array().cast("array<struct<l:int,c:int>>"))
-    fitting = F.filter("shapes", lambda s: (_labels(F.col("host")) >= s["l"]) & (F.length("path") >= s["c"]) & (F.col("host") != ""))
+    urls = pages.select("page_id", host.alias("host"), path.alias("path"))
+    # every address once, however many pages have it
+    distinct = urls.where("host <> ''").select("host", "path").distinct()
+    judged = distinct.select("*", F.array(*[F.struct(F.lit(a).alias("l"), F.lit(b).alias("c")) for a, b in sorted(shapes)]).alias("shapes")) \
+        if shapes else distinct.withColumn("shapes", F.array().cast("array<struct<l:int,c:int>>"))
+    fitting = F.filter("shapes", lambda s: (_labels(F.col("host")) >= s["l"]) & (F.length("path") >= s["c"]))
     suffix = F.expr("substring_index(host, '.', -shape.l)")
-    asked = judged.select("row", "host", "path", F.explode(fitting).alias("shape")).select(
-        "row", _digest(suffix, F.expr("left(path, shape.c)")).alias("digest")
+    asked = judged.select("host", "path", F.explode(fitting).alias("shape")).select(
+        F.col("host").alias("of_host"), F.col("path").alias("of_path"), _digest(suffix, F.expr("left(path, shape.c)")).alias("digest")
     ).withColumn("short", F.substring("digest", 1, PREFIX))
     met = asked.join(ready, "short").where(F.col("digest") == F.col("rule_digest"))
-    best = met.groupBy("row").agg(F.max("rank").alias("best"))
-    return urls.join(best, "row", "left").select(
+    best = met.groupBy("of_host", "of_path").agg(F.max("rank").alias("best"))
+    same = (F.col("host") == F.col("of_host")) & (F.col("path") == F.col("of_path"))
+    return urls.join(best, same, "left").select(
         "page_id",
         "host",
         "path",

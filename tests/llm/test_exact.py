@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rebalance.llm import decontaminate, html_text, neardup, queries
 from rebalance.llm.katz import discounts
@@ -96,7 +97,7 @@ def test_base_spans(spark):
     from rebalance.llm import pii
 
     rng = random.Random(5)
-    parts = ["a@b.c", "%d@e.f", "1.2.3.4.5.6.7.8", "256.1.1.1", "4111 1111-11111111", "4111111111111112", "+1 (2) 345-6789)", "é", " ", "@", ".", "+", "12"]
+    parts = ["a@b.c", "%d@e.f", "1.2.3.4.5.6.7.8", "256.1.1.1", "10.0.0.1", "000.1.01.255", "0256.1.1.1", "4111 1111-11111111", "4111111111111112", "+1 (2) 345-6789)", "é", " ", "@", ".", "+", "12"]
     texts = ["".join(rng.choice(parts) for _ in range(12)) for _ in range(150)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in pii.find(rows).collect():
@@ -127,5 +128,153 @@ def test_main_text():
 
 
 def test_discounts():
-    assert discounts([0, 1, 1, 1, 1, 1])[1] == 0.5
-    assert all(0 < d < 1 for d in discounts([1000, 300, 140, 90, 60, 40])[1:])
+    plain = [1.0] + [(r - 0.5) / r for r in range(1, 6)]
+    assert discounts([0, 1, 1, 1, 1, 1]) == plain and discounts([]) == plain and discounts([5]) == plain
+    # an exact power law: the line and Turing's ratio agree
+    law = [round(1e9 * r**-2.5) for r in range(1, 7)]
+    common = 6**-1.5
+    assert discounts(law)[1:] == pytest.approx([((1 + 1 / r) ** -1.5 - common) / (1 - common) for r in range(1, 6)], rel=1e-3)
+    for counts in ([1000, 300, 140, 90, 60, 40], [193655, 25105, 6496, 2179, 2497, 618], [49663, 12919, 5197, 2729, 2383, 1067]):
+        got = discounts(counts)
+        assert all(0 < d < 1 for d in got[1:]) and got != plain
+
+
+def plain_katz(texts, train):
+    """(chance of w after h, vocabulary, histories, totals) with dictionaries."""
+    from collections import Counter
+
+    single, pairs = Counter(), Counter()
+    for text, learnt in zip(texts, train):
+        if learnt:
+            words = [b"", *(text or "").encode().lower().split(), b""]
+            single.update(words[1:])
+            pairs.update(zip(words, words[1:]))
+    followers = {}
+    for (h, w), c in pairs.items():
+        followers.setdefault(h, {})[w] = c
+    of = lambda table: discounts([sum(c == r for c in table.values()) for r in range(1, 7)])
+    d1, d2 = of(single), of(pairs)
+    cut = lambda d, c: c * (d[c] if c < len(d) else 1.0)
+    total, kept = sum(single.values()), sum(cut(d1, c) for c in single.values())
+    unknown = 1 - kept / total
+    scale = (1 - unknown) / kept
+    one = lambda w: scale * cut(d1, single[w]) if w in single else unknown
+
+    def chance(h, w):
+        own = followers.get(h)
+        if own is None:
+            return one(w)
+        c = sum(own.values())
+        left, size = 1 - sum(cut(d2, x) for x in own.values()) / c, 1.0
+        if left < 1e-12:
+            left, size = 1 / (c + 1), c / (c + 1)
+        if w in own:
+            return cut(d2, own[w]) / c * size
+        return left / (1 - sum(one(x) for x in own)) * one(w)
+
+    return chance, single, followers, d2
+
+
+def test_katz_against_plain_version(spark):
+    from rebalance.llm import katz
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    rows = [r for r in rows if len(r.text) < 1500]
+    train = [not katz.held_out_seventh(r.doc_id) for r in rows]
+    chance, single, followers, ratios = plain_katz([r.text for r in rows], train)
+    assert ratios[1] != 0.5  # Good-Turing, not the fallback
+    for h in list(followers)[::40]:
+        assert sum(chance(h, w) for w in single) + chance(h, b"never seen\n") == pytest.approx(1, abs=1e-9)
+    docs = spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in katz.score(docs.repartition(4), katz.held_out_seventh).collect()}
+    n, v = sum(single.values()), len(single)
+    for r in rows:
+        words = [b"", *r.text.encode().lower().split(), b""]
+        x = got[r.doc_id]
+        want = sum(np.log10(chance(h, w)) for h, w in zip(words, words[1:]))
+        base = sum(np.log10((single[w] + 1) / (n + v + 1)) for w in words[1:])
+        assert (x.n_tokens, x.n_known, x.train_tokens) == (len(words) - 1, sum(w in single for w in words[1:]), n)
+        assert x.score == pytest.approx(want, rel=1e-9) and x.base_score == pytest.approx(base, rel=1e-9)
+
+
+def test_near_duplicates_by_row_not_by_id(spark):
+    a = " ".join(f"w{i}" for i in range(200))
+    near, other = a.replace("w100 ", ""), " ".join(f"v{i}" for i in range(50))
+    third = " ".join(f"u{i}" for i in range(50))
+    for rows in ([(7, a), (7, other), (9, near)], [(7, other), (7, a), (9, near)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == {7: 7, 9: 7}
+    rows = [(None, a), (None, other), (None, third), (7, near), (7, third + " x"), (None, None), (5, ""), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit("clash"))
+    left = neardup.one_of_each(df, width=5, percent=80)
+    assert left.columns == df.columns
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in left.collect())
+    assert got == sorted([(False, 5, ""), (False, 5, ""), (False, 7, near), (False, 7, third + " x"), (True, 0, ""), (True, 0, other)])
+
+
+def test_many_copies_without_ids_meet_once(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join([*base, f"end{i % 150}"])) for i in range(600)] + [(4, " ".join([*base, "end3"]))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 601 and {r.component_id for r in got} == {4} and sum(r.kept for r in got) == 1
+
+
+def test_decontamination_by_row_not_by_id(spark):
+    bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog"), (2, "another item of some length here")], "item_id long, text string")
+    hit = "so: The quick brown fox jumped over the lazy dog!"
+    rows = [(None, hit), (3, hit), (3, "clean"), (None, "clean too"), (4, None), (5, "Another item of some length, here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit(1))
+    for size in (16_000_000, 40):
+        left = decontaminate.decontaminate(docs, bench, chunk_chars=size)
+        assert left.columns == docs.columns
+        assert sorted(str(r.text) for r in left.collect()) == ["None", "clean", "clean too"]
+
+
+def test_matches_against_full_scan(spark):
+    """Every item against every text by a plain edit distance over all ends."""
+
+    def least(item, text):
+        row = [0] * (len(text) + 1)
+        for i, x in enumerate(item, 1):
+            last, row = row, [i]
+            for j, y in enumerate(text, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return min(row)
+
+    rng = random.Random(8)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
+    items = [" ".join(rng.choice(words) for _ in range(9)) for _ in range(6)]
+    texts = []
+    for _ in range(60):
+        body = list(rng.choice(items)) if rng.random() < 0.7 else []
+        for _ in range(rng.randint(0, 5)):
+            if body:
+                body[rng.randrange(len(body))] = rng.choice(["", "x", "qq"])
+        texts.append(" ".join([*rng.choices(words, k=4), "".join(body), *rng.choices(words, k=4)]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = set()
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            norm = decontaminate.normalize(item)
+            if (e := least(norm, decontaminate.normalize(text))) <= decontaminate.budget(norm, 0.06):
+                want.add((d, i, e))
+    for size in (16_000_000, 120):
+        got = decontaminate.matches(docs, bench, chunk_chars=size).collect()
+        assert {(r.doc_id, r.item_id, r.distance) for r in got} == want and len(got) == len(want) > 20
+
+
+def test_many_spans_and_masks(spark):
+    from rebalance.llm import pii
+
+    n = 5000
+    long = " ".join(f"x 10.0.{i % 256}.{i % 7} a{i}@b.org" for i in range(n))
+    rows = [(1, long), (2, "1.1.1.1"), (3, "no"), (4, None), (5, "a@b.c,+12 345 678 90; 4111111111111111")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(docs).withColumn("m", pii.masked(F.coalesce("text", F.lit("")), F.col("spans"))).collect()}
+    ips = [x for x in got[1].base if x.kind == "ip"]
+    assert len(ips) == n and len(got[1].base) == 2 * n
+    assert [(x.start, x.end) for x in ips] == [m.span() for m in re.finditer(r"[0-9]+(?:\.[0-9]+){3}", long)]
+    assert got[1].m == re.sub(r"a[0-9]+@b.org", "[email]", re.sub(r"[0-9]+(\.[0-9]+){3}", "[ip]", long))
+    assert (got[2].m, got[3].m, got[4].m) == ("[ip]", "no", "")
+    assert got[5].m == "[email],[phone]; [card]"
