@@ -8,50 +8,12 @@ documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from rebalance.llm import decontaminate, neardup, pieces, pii, quality
 from rebalance.llm.common import table
-from rebalance.llm.queries import tokenizer
+from rebalance.llm.stages import benchmark_decontamination, near_dedup, private_data, quality_rules, token_ids
 from rebalance.staging import stage
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    judged = quality.judge(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
-    return judged.where("kept").select(*docs.columns)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group; five-word shingles, similarity 0.8."""
-    grouped = neardup.near_duplicates(docs, width=5, percent=80)
-    kept = grouped.where("kept").groupBy("doc_id").count()
-    same = docs["doc_id"].eqNullSafe(kept["doc_id"])
-    left = docs.join(kept.where("count = 1"), same, "left_semi")
-    repeated = kept.where("count > 1").agg(F.count("*")).first()[0]
-    if not repeated:
-        return left
-    # several rows share an id: one of them stays
-    return left.unionByName(docs.join(kept.where("count > 1"), same, "left_semi").dropDuplicates(["doc_id"]))
-
-
-def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-
-
-def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every span of personal data replaced by its kind."""
-    found = pii.find(docs)
-    clean = pii.masked(F.col("text"), F.col("spans")).alias("text")
-    return found.select(*[clean if c == "text" else F.col(c) for c in docs.columns])
-
-
-def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document with an end id, and the text they decode to."""
-    return pieces.encode(docs, tokenizer()).drop("text").withColumnRenamed("decoded", "text")
-
-
 STAGES = [
     ("quality rules", quality_rules),
     ("near-dedup", near_dedup),
