@@ -114,7 +114,7 @@ def partition_profile(df: DataFrame) -> DataFrame:
     sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     filled = F.count(F.lit(1))
     return sizes.agg(
-        F.when(filled < every, 0).otherwise(F.min("n")).cast("bigint").alias("min_rows"),
+        F.when(filled < every, 0).otherwise(F.coalesce(F.min("n"), F.lit(0))).cast("bigint").alias("min_rows"),
         F.coalesce(F.max("n"), F.lit(0)).cast("bigint").alias("max_rows"),
         F.coalesce(F.expr(f"sum(n) div {max(every, 1)}"), F.lit(0)).cast("bigint").alias("avg_rows"),
         F.lit(every).cast("bigint").alias("num_partitions"),
