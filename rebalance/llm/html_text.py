@@ -1,11 +1,12 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a list of text blocks with their place in the tree of block
-elements. A linear classifier gives each block a cost for being content or
-boilerplate (terminal capacities). Blocks next to each other, and more so blocks
-under one parent, are joined by smoothness edges. The minimum cut of that graph
-parts content from boilerplate. Blocks whose own cost outweighs all their edges
-are settled first, which no minimum cut contradicts; max-flow decides the rest.
+A page becomes a list of text blocks with their place in the tree of block elements. A
+linear classifier gives each block a cost for being content or boilerplate (terminal
+capacities). Smoothness edges join blocks that follow each other, the more so the
+nearer they are in the tree, and blocks that follow each other under one parent with
+other elements between. The minimum cut of that graph parts content from
+boilerplate. Blocks whose own cost outweighs all their edges are settled first, which no
+minimum cut contradicts; max-flow, in phases of shortest paths, decides the rest.
 """
 
 from __future__ import annotations
@@ -47,33 +48,41 @@ CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post
 #: Weights of the classifier; positive speaks for content.
 WEIGHTS = {
     "boilerplate": -12.0, "article": 5.0, "named": 3.0, "p": 1.0, "heading": 0.5, "item": -0.5,
-    "words": 0.45, "links": -4.0, "stop": 0.5, "rights": -2.0, "bias": -1.5,
+    "words": 0.45, "links": -4.0, "stop": 0.5, "rights": -2.0, "outside": -3.0, "bias": 0.6,
 }
-NEXT, SIBLING = 0.6, 1.2  # smoothness: following blocks; following blocks under one parent
+NEXT = 0.5  # smoothness of blocks that follow each other
+TREE = 1.4  # and what neighbours in the tree add; half of it for each further step between them
+APART = 0.7  # blocks that follow each other under one parent, with others between
+
+
+MAX_DEPTH = 256  # of the paths that tell how near two blocks are
 
 
 class Block:
-    __slots__ = ("text", "parent", "score")
+    """Text of one element, with the numbers of the elements around it, the outermost first."""
 
-    def __init__(self, text: str, parent: int, score: float):
-        self.text, self.parent, self.score = text, parent, score
+    __slots__ = ("text", "path", "tag", "signs", "linked")
 
+    def __init__(self, text: str, path: tuple[int, ...], tag: str, signs: tuple[bool, bool, bool], linked: int):
+        self.text, self.path, self.tag, self.signs, self.linked = text, path, tag, signs, linked
 
-def score(text: str, tag: str, signs: tuple[bool, bool, bool], linked: int) -> float:
-    """Log odds of content: ``signs`` tell of boilerplate, article and named ancestors."""
+
+def score(b: Block, has_article: bool) -> float:
+    """Log odds of content; ``has_article``: some block of the page is marked as the article's."""
     w = WEIGHTS
-    boilerplate, article, named = signs
-    total = w["bias"] + w["words"] * min(len(text.split()).bit_length(), 8) + w["links"] * linked / max(len(text), 1)
+    boilerplate, article, named = b.signs
+    total = w["bias"] + w["words"] * min(len(b.text.split()).bit_length(), 8) + w["links"] * b.linked / max(len(b.text), 1)
     total += w["boilerplate"] * boilerplate + w["article"] * article + w["named"] * named
-    if tag == "p":
+    total += w["outside"] * (has_article and not article)
+    if b.tag == "p":
         total += w["p"]
-    elif tag[:1] == "h" and tag[1:].isdigit():
+    elif b.tag[:1] == "h" and b.tag[1:].isdigit():
         total += w["heading"]
-    elif tag in ("li", "dt", "dd", "td", "th", "option"):
+    elif b.tag in ("li", "dt", "dd", "td", "th", "option"):
         total += w["item"]
-    if text[-1] in ".!?\"”…":
+    if b.text[-1] in ".!?\"”…":
         total += w["stop"]
-    if "©" in text:
+    if "©" in b.text:
         total += w["rights"]
     return total
 
@@ -81,8 +90,8 @@ def score(text: str, tag: str, signs: tuple[bool, bool, bool], linked: int) -> f
 def blocks(html: str) -> list[Block]:
     """The page's blocks in order; markup, comments, scripts, styles and the like left out."""
     out: list[Block] = []
-    # (tag, number of the element, (boilerplate, article, named))
-    stack: list[tuple[str, int, tuple[bool, bool, bool]]] = [("", 0, (False, False, False))]
+    # (tag, numbers of the element and those around it, (boilerplate, article, named))
+    stack: list[tuple[str, tuple[int, ...], tuple[bool, bool, bool]]] = [("", (0,), (False, False, False))]
     pieces: list[str] = []
     count = link = linked = 0
 
@@ -91,9 +100,8 @@ def blocks(html: str) -> list[Block]:
         if pieces:
             text = " ".join(unescape("".join(pieces)).split())
             if text:
-                tag, _, signs = stack[-1]
-                parent = stack[-2][1] if len(stack) > 1 else 0
-                out.append(Block(text, parent, score(text, tag, signs, linked)))
+                tag, path, signs = stack[-1]
+                out.append(Block(text, path, tag, signs, linked))
             pieces.clear()
         linked = 0
 
@@ -134,7 +142,9 @@ def blocks(html: str) -> list[Block]:
         good = tag in ("article", "main") or "main" == names.strip().lower()
         count += 1
         signs = (boilerplate or bad, article or good, named or (bool(names) and not body and bool(CONTENT_NAMES.search(names))))
-        stack.append((tag, count, signs))
+        # beyond MAX_DEPTH elements count as one
+        path = stack[-1][1]
+        stack.append((tag, (*path, count) if len(path) < MAX_DEPTH else path, signs))
     rest = html[last:]
     pieces.append(rest)
     flush()
@@ -144,7 +154,9 @@ def blocks(html: str) -> list[Block]:
 def max_flow_side(unary: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Source side of a minimum cut: True for content. Ties fall to boilerplate's favour.
 
-    ``unary`` > 0 is the capacity from the source, < 0 that to the sink.
+    ``unary`` > 0 is the capacity from the source, < 0 that to the sink. Each phase
+    finds the distances from the source and then saturates all shortest paths; a
+    place that leads no further is not tried again in the phase.
     """
     n = len(unary)
     source, sink = n, n + 1
@@ -168,36 +180,78 @@ def max_flow_side(unary: list[float], edges: list[tuple[int, int, float]]) -> li
     for a, b, c in edges:
         join(a, b, c, c)
     while True:
-        came: dict[int, int] = {source: -1}
+        level = [-1] * (n + 2)
+        level[source] = 0
         queue = deque([source])
-        while queue and sink not in came:
+        while queue:
             x = queue.popleft()
             for e in out[x]:
-                if cap[e] > 1e-9 and to[e] not in came:
-                    came[to[e]] = e
+                if cap[e] > 1e-9 and level[to[e]] < 0:
+                    level[to[e]] = level[x] + 1
                     queue.append(to[e])
-        if sink not in came:
-            return [i in came for i in range(n)]
-        path, x = [], sink
-        while x != source:
-            path.append(came[x])
-            x = to[came[x] ^ 1]
-        flow = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= flow
-            cap[e ^ 1] += flow
+        if level[sink] < 0:
+            return [level[i] >= 0 for i in range(n)]
+        turn = [0] * (n + 2)  # the edge each place tries next
+        path: list[int] = []
+        x = source
+        while True:
+            if x == sink:
+                flow = min(cap[e] for e in path)
+                cut = len(path)
+                for k, e in enumerate(path):
+                    cap[e] -= flow
+                    cap[e ^ 1] += flow
+                    if cap[e] <= 1e-9 and k < cut:
+                        cut = k
+                # go on from before the first edge that is full
+                x = to[path[cut] ^ 1]
+                del path[cut:]
+                continue
+            own = out[x]
+            while turn[x] < len(own):
+                e = own[turn[x]]
+                if cap[e] > 1e-9 and level[to[e]] == level[x] + 1:
+                    break
+                turn[x] += 1
+            if turn[x] < len(own):
+                path.append(e)
+                x = to[e]
+            elif path:
+                x = to[path.pop() ^ 1]
+                turn[x] += 1
+            else:
+                break
+
+
+def smoothness(page: list[Block]) -> list[tuple[int, int, float]]:
+    """Edges (block, later block, capacity): neighbours in the text, and in the tree."""
+    edges: list[tuple[int, int, float]] = []
+    last: dict[int, int] = {}
+    for i, block in enumerate(page):
+        if i:
+            before, own = page[i - 1].path, block.path
+            shared = 0
+            for a, b in zip(before, own):
+                if a != b:
+                    break
+                shared += 1
+            steps = len(before) + len(own) - 2 * shared
+            edges.append((i - 1, i, NEXT + TREE * 0.5 ** max(steps - 2, 0)))
+        parent = block.path[-2] if len(block.path) > 1 else block.path[-1]
+        if last.get(parent, i) < i - 1:
+            edges.append((last[parent], i, APART))
+        last[parent] = i
+    return edges
 
 
 def label(page: list[Block]) -> list[bool]:
     """Whether each block is content."""
     n = len(page)
-    unary = [b.score for b in page]
-    edges = [
-        (i, i + 1, NEXT + (SIBLING if page[i].parent == page[i + 1].parent else 0.0)) for i in range(n - 1)
-    ]
+    has_article = any(b.signs[1] for b in page)
+    unary = [score(b, has_article) for b in page]
     side: list[bool | None] = [None] * n
     near: list[dict[int, float]] = [{} for _ in range(n)]
-    for a, b, c in edges:
+    for a, b, c in smoothness(page):
         near[a][b] = near[b][a] = c
     todo = list(range(n))
     while todo:

@@ -125,6 +125,52 @@ def test_main_text():
     )
     assert html_text.main_text(page) == "Head\n\nFirst long paragraph & more words, with a stop.\n\nOk."
     assert html_text.max_flow_side([3.0, -1.0, -9.0], [(0, 1, 2.0), (1, 2, 0.5)]) == [True, True, False]
+    assert [html_text.main_text(x) for x in ("x", "<p>x</p>", "<p>One.<p>Two", "")] == ["x", "x", "One.\n\nTwo", ""]
+
+
+def cut_cost(side, unary, edges):
+    lost = sum(u for s, u in zip(side, unary) if u > 0 and not s) - sum(u for s, u in zip(side, unary) if u < 0 and s)
+    return lost + sum(c for a, b, c in edges if side[a] != side[b])
+
+
+def test_minimum_cut_against_all_labellings():
+    rng = random.Random(6)
+    for _ in range(150):
+        n = rng.randint(1, 9)
+        unary = [rng.uniform(-3, 3) for _ in range(n)]
+        edges = [(a, b, rng.uniform(0, 2)) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.5]
+        got = cut_cost(html_text.max_flow_side(unary, edges), unary, edges)
+        every = ([bool(k >> i & 1) for i in range(n)] for k in range(1 << n))
+        assert got == pytest.approx(min(cut_cost(s, unary, edges) for s in every))
+
+
+def test_the_cut_corrects_the_classifier():
+    """Short and linked blocks inside unmarked prose stay, a lone sentence among menus goes."""
+    long = "A sentence with a good number of words that nobody would take for a menu."
+    prose = f"<div><p>{long}</p><p>{long}</p><p><a href=x>see there</a></p><p>{long}</p><p>{long}</p></div>"
+    menu = "".join(f"<li><a href=/{i}>Entry {i}</a></li>" for i in range(6))
+    page = html_text.blocks(f"<body><ul>{menu}<li>Top news today</li>{menu}</ul>{prose}<ul>{menu}</ul></body>")
+    alone = [html_text.score(b, False) > 0 for b in page]
+    wanted = [b.text == long or b.text == "see there" for b in page]
+    assert html_text.label(page) == wanted != alone
+    assert sum(a != w for a, w in zip(alone, wanted)) == 2
+
+
+def test_wide_and_deep_pages_take_little_time():
+    import time
+
+    rng = random.Random(9)
+    parts = []
+    for i in range(10_000):
+        word = "word " * rng.randint(1, 4)
+        parts.append(f"<li><a href=x>{word}</a> {word}</li>" if rng.random() < 0.5 else f"<div>{word}<a>{word}</a></div>")
+    start = time.process_time()
+    page = html_text.blocks("".join(parts))
+    html_text.label(page)
+    assert time.process_time() - start < 2
+    start = time.process_time()
+    assert html_text.main_text("<div>" * 30_000 + "deep" + "</div>" * 30_000) == "deep"
+    assert time.process_time() - start < 2
 
 
 def test_discounts():
