@@ -324,3 +324,107 @@ def test_many_spans_and_masks(spark):
     assert got[1].m == re.sub(r"a[0-9]+@b.org", "[email]", re.sub(r"[0-9]+(\.[0-9]+){3}", "[ip]", long))
     assert (got[2].m, got[3].m, got[4].m) == ("[ip]", "no", "")
     assert got[5].m == "[email],[phone]; [card]"
+
+
+def plain_quality(rows, trusted, bits=15):
+    """All columns of ``quality.judge`` by doc_id, with loops and dictionaries."""
+    import math
+
+    import xxhash
+
+    def buckets(words):
+        out = []
+        for i, w in enumerate(words):
+            h = xxhash.xxh64_intdigest(w.encode(), seed=42)
+            if i + 1 < len(words):
+                h = xxhash.xxh64_intdigest(words[i + 1].encode(), seed=h)
+            out.append(h & ((1 << bits) - 1))
+        return out
+
+    split = {i: [w.decode() for w in (t or "").encode().split()] for i, t in rows}
+    size = 1 << bits
+    good, every = [0] * size, [0] * size
+    for i, words in split.items():
+        for b in buckets(words):
+            every[b] += 1
+            good[b] += i in trusted
+    n_good, n_every = sum(good), sum(every)
+    weight = [
+        math.log((g + 1) / (n_good + size)) - math.log((e + 1) / (n_every + size)) if n_good else 0.0
+        for g, e in zip(good, every)
+    ]
+    out = {}
+    for i, text in rows:
+        words = split[i]
+        windows = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
+        often = {w for w in windows if windows.count(w) > 1} if len(set(windows)) < len(windows) else set()
+        repeated = {k + j for k, w in enumerate(windows) if w in often for j in range(8)}
+        lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        seen, dup = set(), 0
+        for x in lines:
+            dup += x in seen
+            seen.add(x)
+        inked = "".join(words)
+        llr = sum(weight[b] for b in buckets(words)) / len(words) if words else None
+        failed = len(words) < 20 or 100 * len(repeated) > 30 * len(words)
+        symbols = sum(c in "#*$%&|<>" for c in inked)
+        out[i] = (len(words), len(inked), symbols, dup, len(repeated), failed, llr, not failed and llr >= -0.12)
+    return out
+
+
+def test_quality_against_plain_version(spark):
+    from rebalance.llm import quality
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    docs = [x for x in docs if len(x[1]) < 6000]
+    docs += [(-1, None), (-2, ""), (-3, "a\n\nb\n \na\nb c"), (-4, "one two three four five six seven eight " * 4), (-5, "# | x\x1cy é<>")]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    trusted = quality.trusted_ids(labels)
+    ids = {r.doc_id for r in trusted.collect()}
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    want = plain_quality(docs, ids)
+    got = quality.judge(rows, trusted).collect()
+    assert len(got) == len(want) and sum(r.kept for r in got) > 20
+    for r in got:
+        *counts, llr, kept = want[r.doc_id]
+        assert [r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed] == counts, r.doc_id
+        assert r.llr == (None if llr is None else pytest.approx(llr, abs=1e-9)) and (r.kept == kept or abs(llr + 0.12) < 1e-9)
+
+
+def test_pipeline_stages_on_odd_rows(spark, hard):
+    """Every stage on nulls, repeats and missing ids: rows are judged one by one, none vanishes with another's id."""
+    from rebalance.llm import stages
+
+    flow = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, flow), (None, flow + " end"), (7, flow), (7, "some quite other text mail a.b@c.org " * 3), (8, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.lit(1)).withColumn("kept", F.lit("clash"))
+    left = stages.near_dedup(spark, docs, SF)
+    assert left.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in left.collect()) == sorted(
+        [("7", flow), ("7", rows[3][1]), ("8", ""), ("8", "")]
+    )
+    clean = stages.benchmark_decontamination(spark, docs, SF)
+    assert clean.columns == docs.columns and clean.count() == 6
+    private = stages.private_data(spark, docs, SF)
+    assert private.columns == docs.columns
+    assert sum((r.text or "").count("[email]") for r in private.collect()) == 3
+    done = stages.token_ids(spark, docs, SF)
+    assert done.count() == 6 and {"doc_id", "ids", "text"} <= set(done.columns)
+    good = stages.quality_rules(spark, docs, SF)
+    assert good.columns == docs.columns
+    assert {r.text for r in good.collect()} <= {r[1] for r in rows}
+    for step in (stages.quality_rules, stages.near_dedup, stages.benchmark_decontamination, stages.private_data, stages.token_ids):
+        assert step(spark, docs.where("false"), SF).collect() == []
+
+
+def test_pipeline_is_its_stages_in_a_row(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, step in corpus_pipeline.STAGES:
+        docs = step(spark, docs, SF).persist()
+    want = sorted((r.doc_id, tuple(r.ids)) for r in docs.collect())
+    assert sorted((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, SF).collect()) == want and want
+    assert [name for name, _ in corpus_pipeline.STAGES] == [
+        "quality rules", "near-dedup", "benchmark decontamination", "personal data", "sentencepiece"
+    ]
