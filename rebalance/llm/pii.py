@@ -2,11 +2,12 @@
 
 Base kinds (email, ip, card, phone) are leftmost matches of a pattern that pass a
 check; they always stay. Further candidates are long mixed tokens. Four labelers
-vote on every span (for, against, or not at all): its pattern, a gazetteer of
+vote on every candidate (for, against, or not at all): its pattern, a gazetteer of
 prefixes, the words before it, and its make-up. Expectation-maximisation over the
 counts of vote patterns (at most 3**4 rows) estimates how reliable each labeler
-is; its posteriors then train a naive Bayes span classifier over hashed features,
-counted over all documents, which decides about the candidates.
+is, starting from, and held by some pseudo-counts near, labelers that are more often
+right than wrong; its posteriors then train a naive Bayes span classifier over hashed
+features, counted over all documents, which decides about the candidates.
 
 Everything on rows is DataFrame functions. Texts are read once, and the spans
 found are staged; later passes read only those.
@@ -36,25 +37,20 @@ PATTERNS = {
 NEEDS = {"email": "@", "phone": "+"}
 #: Four parts of at most 255; zeros in front do not count, and a part may be all zeros.
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
-GAZETTEER = {
-    "email": r"\.(?:com|org|net|edu|gov|io|de|fr|es|uk)$",
-    "ip": r"^(?!0|10\.|127\.|169\.254\.|192\.168\.|22[4-9]|2[3-5])",
-    "card": r"^(?:4|5[1-5]|2[2-7]|6011|65)",
-    "phone": r"^\+(?:1|33|34|44|49)\b",
-    "secret": r"^(?:AKIA|ASIA|ghp_|gho_|sk-|xox[abp]-|AIza)",
-}
-CONTEXT = {
-    "email": r"(?i)(?:mail|contact|write|reach)\W{0,3}$",
-    "ip": r"(?i)(?:\bip|address|host|server|from)\W{0,3}$",
-    "card": r"(?i)(?:card|visa|credit|payment)\W{0,3}(?:no|number)?\W{0,3}$",
-    "phone": r"(?i)(?:phone|call|tel|mobile|fax)\W{0,3}$",
-    "secret": r"(?i)(?:password|passwd|pwd|token|secret|key|credential)s?\s{0,2}[=:]\s{0,2}[\"']?$",
-}
+GAZETTEER = r"^(?:AKIA|ASIA|gh[oprsu]_|github_pat_|glpat-|sk-|[rs]k_live_|xox[abprs]-|AIza|ya29|eyJ|npm_|hf_)"
+CONTEXT = (
+    r"(?i)(?:passw(?:or)?d|passphrase|pwd|token|secret|api[_ -]?key|access[_ -]?key|key|auth|bearer|credential)s?"
+    r"\s{0,2}(?:[=:]|\bis\b)?\s{0,2}[\"'`]?$"
+)
+ADDRESS = r"(?i)(?:https?://\S*|www\.\S*|/)$"
 BEFORE = 24  # characters before a span that the context labeler sees
 PART = 64  # spans whose places are added up together
 FEATURES = 1024
+PER_SPAN = 6.0  # features of a span
+SMOOTH = 0.1  # added to the sums of every feature
 LABELERS = 4
 ROUNDS = 30
+PSEUDO = 10.0  # spans that speak for the expected reliability of a labeler
 
 
 def _let(value: Column, body) -> Column:
@@ -156,25 +152,21 @@ def _vote(yes: Column, no: Column) -> Column:
 
 def votes(span: Column) -> Column:
     """The labelers' votes as one number in base 3: 2 for, 1 against, 0 none."""
-    value, before, kind = span["value"], span["before"], span["kind"]
-
-    def by_kind(patterns: dict[str, str], of: Column) -> Column:
-        out = F.lit(False)
-        for k, p in patterns.items():
-            out = F.when(kind == k, of.rlike(p)).otherwise(out)
-        return out
-
-    base = kind != "secret"
-    pattern = _vote(base | value.rlike("^(?:[0-9a-f]{16,}|[A-Z0-9]{20})$"), value.rlike("^[A-Za-z]+[-_/][A-Za-z-_/]+[0-9]*$"))
-    gazetteer = _vote(by_kind(GAZETTEER, value), kind == "ip")
-    context = _vote(by_kind(CONTEXT, before), ~base & before.rlike(r"(?i)(?:https?://\S*|www\.\S*|/)$"))
+    value, before = span["value"], span["before"]
+    # digests and key ids, or words put together
+    pattern = _vote(
+        value.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|[A-Z0-9]{20})$"),
+        value.rlike("^[A-Za-z]+(?:[-_/][A-Za-z]+)+[-_/]?[0-9]*$"),
+    )
+    gazetteer = _vote(value.rlike(GAZETTEER), F.lit(False))
+    context = _vote(before.rlike(CONTEXT), before.rlike(ADDRESS))
     digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
     make = _vote(digits * 5 >= F.length(value), digits * 10 < F.length(value))
     return pattern + 3 * gazetteer + 9 * context + 27 * make
 
 
 def span_features(span: Column) -> Column:
-    """Hashed features of the final classifier: make-up, length, start, and the word before."""
+    """Hashed features of the final classifier: make-up, length, start, the word before, and the votes."""
     value, before = span["value"], span["before"]
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0")
     named = {
@@ -183,6 +175,7 @@ def span_features(span: Column) -> Column:
         "start": F.substring(value, 1, 4),
         "mark": F.substring(before, -2, 2),
         "word": F.regexp_extract(F.lower(before), r"(\w+)\W*$", 1),
+        "votes": votes(span).cast("string"),
     }
     return F.array(
         *[F.pmod(F.xxhash64(F.lit(n), span["kind"], v), F.lit(FEATURES)).cast("int") for n, v in named.items()]
@@ -196,7 +189,9 @@ def reliabilities(counts: dict[int, int], rounds: int = ROUNDS) -> list[float]:
     ``counts`` has at most 3 ** LABELERS entries.
     """
     patterns = [[p // 3**k % 3 for k in range(LABELERS)] for p in range(3**LABELERS)]
-    theta = [[[0.5, 0.4, 0.1], [0.3, 0.1, 0.6]] for _ in range(LABELERS)]
+    # votes (none, against, for) of either truth; no vote says nothing at first
+    expected = [[0.4, 0.5, 0.1], [0.4, 0.1, 0.5]]
+    theta = [[list(votes) for votes in expected] for _ in range(LABELERS)]
     prior = 0.5
     chance = [0.5] * len(patterns)
     for _ in range(rounds):
@@ -208,7 +203,7 @@ def reliabilities(counts: dict[int, int], rounds: int = ROUNDS) -> list[float]:
         prior = (sum(n * chance[p] for p, n in counts.items()) + 1) / (total + 2)
         for k in range(LABELERS):
             for truth in (0, 1):
-                sums = [1.0, 1.0, 1.0]
+                sums = [PSEUDO * e for e in expected[truth]]
                 for p, n in counts.items():
                     sums[patterns[p][k]] += n * (chance[p] if truth else 1 - chance[p])
                 theta[k][truth] = [s / sum(sums) for s in sums]
@@ -239,8 +234,11 @@ def find(docs: DataFrame, keep_text: bool = True) -> DataFrame:
             ),
         )
 
-    found = stage(found.select(*own, rated(F.col("__b")).alias("__b"), rated(F.col("__s")).alias("__s")), "spans")
-    spans = found.select(F.explode(F.concat("__b", "__s")).alias("x"))
+    def bare(spans: Column) -> Column:
+        return F.transform(spans, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+
+    found = stage(found.select(*own, bare(F.col("__b")).alias("base"), rated(F.col("__s")).alias("__s")), "spans")
+    spans = found.select(F.explode("__s").alias("x"))
     counts = {r.votes: r.n for r in spans.groupBy("x.votes").agg(F.count("*").alias("n")).collect()}
     chance = F.array(*[F.lit(float(c)) for c in reliabilities(counts)])
     sums = (
@@ -257,22 +255,18 @@ def find(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     )
     weights = F.transform(
         "m",
-        lambda x: F.ln((x["yes"] + 1) / (F.col("y") + FEATURES)) - F.ln((x["no"] + 1) / (F.col("n") + FEATURES)),
+        lambda x: F.ln((x["yes"] + SMOOTH) / (F.col("y") + SMOOTH * FEATURES))
+        - F.ln((x["no"] + SMOOTH) / (F.col("n") + SMOOTH * FEATURES)),
     )
-    five = 5.0  # features per span
-    model = model.select(weights.alias("w"), F.ln((F.col("y") + five) / (F.col("n") + five)).alias("prior"))
+    # one span of either kind, to begin with
+    model = model.select(weights.alias("w"), F.ln((F.col("y") + PER_SPAN) / (F.col("n") + PER_SPAN)).alias("prior"))
     scored = found.withColumn("__m", model.select(F.struct("w", "prior")).scalar())
 
     def accepted(x: Column) -> Column:
         score = F.aggregate(x["features"], F.col("__m.prior"), lambda a, f: a + F.get(F.col("__m.w"), f))
         return score > 0
 
-    def bare(spans: Column) -> Column:
-        return F.transform(spans, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-
-    return scored.select(
-        *own, bare(F.col("__b")).alias("base"), bare(F.concat("__b", F.filter("__s", accepted))).alias("spans")
-    )
+    return scored.select(*own, "base", F.concat("base", bare(F.filter("__s", accepted))).alias("spans"))
 
 
 def listed(spans: Column) -> Column:

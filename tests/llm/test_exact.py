@@ -428,3 +428,27 @@ def test_pipeline_is_its_stages_in_a_row(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality rules", "near-dedup", "benchmark decontamination", "personal data", "sentencepiece"
     ]
+
+
+def test_added_spans_on_planted_credentials(spark):
+    """Recall and precision of the learnt kind over documents with and without a credential."""
+    from rebalance.llm import pii
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rng = random.Random(10)
+    known, more = set(), []
+    for r in rows.collect():
+        for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text):
+            known.add((r.doc_id, m.start(1), m.end(1)))
+    frames = ['password: "{}" was set', "api_key={} in the file", "secret = {};", "export TOKEN={}"]
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for i in range(60):
+        value = "".join(rng.choice(letters) for _ in range(rng.randint(20, 40))) + "7a"
+        text = "Some words before " + rng.choice(frames).format(value) + " and after it."
+        more.append((-1 - i, text))
+        known.add((-1 - i, text.index(value), text.index(value) + len(value)))
+    plain = ["see https://example.org/articles/some-long-title-of-2024", "version_of_the_long_identifier_2", "the well-known-compound-word-no1 here"]
+    more += [(-100 - i, t) for i, t in enumerate(plain)]
+    docs = rows.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    found = {(r.doc_id, x.start, x.end) for r in pii.find(docs).collect() for x in r.spans if x.kind == "secret"}
+    assert len(found & known) >= 0.95 * len(known) and len(found & known) >= 0.95 * len(found)
