@@ -90,18 +90,19 @@ def _prepared(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     )
 
 
-def _checked(df: DataFrame, name: str) -> tuple[DataFrame, dict]:
-    """Rows (id, vec) written once, with their number and the width of the vectors."""
-    staged, seen = stage_observed(
-        df.select("id", "vec"),
-        name,
-        n=F.count(F.lit(1)),
-        width=F.max(F.size("vec")),
-        least_width=F.min(F.size("vec")),
-        bad=F.count_if(
-            F.col("id").isNull() | F.col("vec").isNull() | F.exists("vec", not_finite)
-        ),
-    )
+def _checked(df: DataFrame, name: str, written: bool) -> tuple[DataFrame, dict]:
+    """Rows (id, vec), written unless they are already, with their number and the width of the vectors."""
+    numbers = {
+        "n": F.count(F.lit(1)),
+        "width": F.max(F.size("vec")),
+        "least_width": F.min(F.size("vec")),
+        "bad": F.count_if(F.col("id").isNull() | F.col("vec").isNull() | F.exists("vec", not_finite)),
+    }
+    staged = df.select("id", "vec")
+    if written:
+        seen = staged.agg(*[c.alias(n) for n, c in numbers.items()]).first().asDict()
+    else:
+        staged, seen = stage_observed(staged, name, **numbers)
     if seen["bad"]:
         raise ValueError("null ids and null, NaN or infinite features cannot be compared")
     if seen["width"] != seen["least_width"]:
@@ -368,17 +369,21 @@ def neighbor_lists(
     exclude_zero: bool = True,
     blocks: int | None = None,
     with_vectors: bool = False,
+    written: bool = False,
 ) -> DataFrame:
-    """(id, vec, nbrs) per query row; inputs are (id, vec), no corpus means self."""
+    """(id, vec, nbrs) per query row; inputs are (id, vec), no corpus means self.
+
+    ``written`` tells that the inputs are plain reads of tables and need no writing here.
+    """
     if k < 1:
         raise ValueError("k must be at least 1")
     if blocks is not None and blocks < 1:
         raise ValueError("blocks must be at least 1")
     search = _Search(k, check_metric(metric), exclude_zero, with_vectors)
-    rows, seen = _checked(queries if corpus is None else corpus, "rows")
+    rows, seen = _checked(queries if corpus is None else corpus, "rows", written)
     asking, n_rows = rows, seen["n"]
     if corpus is not None:
-        asking, of_queries = _checked(queries, "queries")
+        asking, of_queries = _checked(queries, "queries", written)
         n_rows = of_queries["n"]
         if n_rows and seen["n"] and of_queries["width"] != seen["width"]:
             raise ValueError("feature vectors differ in length")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -15,15 +15,12 @@ def num_classes(df: DataFrame, label: str) -> DataFrame:
 
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
     """(label, count, pct) per class, with the total and the number of classes."""
-    per_class = df.groupBy(label).agg(F.count(F.lit(1)).alias("count"))
-    # the frame below holds one row per class by now
-    every = Window.partitionBy(F.lit(1))
-    return per_class.select(
-        F.col(label).alias("label"),
-        "count",
-        F.sum("count").over(every).alias("total"),
-        F.expr("count * 100 div sum(count) over (partition by 1)").alias("pct"),
-        F.count("*").over(every).alias("num_classes"),
+    per_class = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("count"))
+    # classes stay spread out; the totals are one row
+    totals = per_class.agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("num_classes"))
+    both = per_class.withColumn("_t", totals.select(F.struct("total", "num_classes")).scalar())
+    return both.select(
+        "label", "count", "_t.total", F.expr("count * 100 div _t.total").alias("pct"), "_t.num_classes"
     )
 
 

@@ -200,7 +200,7 @@ def smote(
     if plan.num_syn == 0:
         none = seeds.limit(0).selectExpr("id", "vec", "1L as copy", "0D as gap", "id as nbr_id", "vec as nbr_vec")
         return _as_rows(none, f, ranges, label, label_value)
-    lists = neighbor_lists(seeds, None, k, metric, blocks=blocks)
+    lists = neighbor_lists(seeds, None, k, metric, blocks=blocks, written=True)
     counted = lists.withColumn("copies", _copies(seeds, plan.num_syn, plan.num_pos, seed, "id"))
     drawn = pick_neighbor(_copied(counted, plan.num_syn), seed).select("id", "vec", "copy", "gap", "nbr.nbr_id")
     vectors = seeds.select(F.col("id").alias("of"), F.col("vec").alias("nbr_vec"))
