@@ -63,7 +63,7 @@ def category_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.struct(F.lit(c).alias("col_name"), trimmed(F.col(c).cast("string")).alias("label")) for c in columns
     ]
     labels = df.select(F.inline(F.array(*pairs))).where(F.col("label").isNotNull()).distinct()
-    ranked = global_rank(labels, "col_name", "label")
+    ranked = global_rank(labels, "col_name", "label", unique=True)
     # one row per column
     starts = ranked.groupBy("col_name").agg(F.min("rank").alias("start"))
     codes = ranked.join(F.broadcast(starts), "col_name").select(

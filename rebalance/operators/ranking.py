@@ -16,20 +16,22 @@ def with_row_id(df: DataFrame, id_col: str = "id") -> DataFrame:
 ROW_BITS = 33  # a generated id is the partition number, then 33 bits of row number
 
 
-def global_rank(df: DataFrame, *order_by: str, rank: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, *order_by: str, rank: str = "rank", unique: bool = False) -> DataFrame:
     """Dense row number 1..n in the order of ``order_by``; rows alike in it come in any order.
 
     Rows first get a written key. They are range-partitioned by ``order_by`` and that
     key, so a value that most rows hold is split over many tasks; then they are sorted
     and numbered within their partition, and written, which pins the numbers. The rank
     adds the number of rows in the partitions before, a table with one row per
-    shuffle partition.
+    shuffle partition. ``unique`` tells that no two rows are alike in ``order_by``; then
+    no key is needed.
     """
-    keyed = with_row_id(df, "_key")
+    keys = list(order_by) if unique else [*order_by, "_key"]
+    keyed = df if unique else with_row_id(df, "_key")
     numbered = stage(
-        keyed.repartitionByRange(*order_by, "_key")
-        .sortWithinPartitions(*order_by, "_key")
-        .drop("_key")
+        keyed.repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .select(*[F.col(f"`{c}`") for c in df.columns])
         .withColumn("_number", F.monotonically_increasing_id()),
         "ranges",
     )
