@@ -292,13 +292,14 @@ def _search_lists(queries: DataFrame, n_queries: int, corpus: DataFrame, n: int,
     tasks = _tasks(spark, n_blocks + math.ceil(n_queries / query_rows))
     met = stage(_meet(left, right, tasks, search).withColumnRenamed("meeting", "chunk"), "met")
     metric, cell_of_block = search.metric, np.repeat(np.arange(len(n_subs)), n_subs)
+    lo, hi, pivots, radii = cut.lo, cut.hi, cut.pivots, cut.radii
 
     def route(batches):
         for batch in batches:
             x, bound = B.matrix(batch["vec"]), batch["bound"].to_numpy()
             own, of = batch["block"].to_numpy(), batch["chunk"].to_numpy()
             home, found = cell_of_block[own], []
-            for rows, at in B.cells_in_reach(x, bound, home, cut.lo, cut.hi, cut.pivots, cut.radii, metric):
+            for rows, at in B.cells_in_reach(x, bound, home, lo, hi, pivots, radii, metric):
                 times = n_subs[at]
                 rows, at = np.repeat(rows, times), np.repeat(at, times)
                 block = firsts[at] + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rebalance.functions.vectors import double_array, not_finite
+from rebalance.operators import ranges as R
 
 CONSTANT = 0.5  # fixed value: what a column without spread is scaled to
 
@@ -74,98 +73,14 @@ def _ends(f: Features) -> list[Column]:
     ]
 
 
-_PARTS = "bucket int, n bigint, n_pos bigint, bad bigint, sizes array<bigint>, lo array<double>, hi array<double>"
-MERGERS = 64  # rows that are left of any number of tasks
-
-
-def _wider(old: np.ndarray, width: int, fill: float) -> np.ndarray:
-    return np.concatenate([old, np.full(max(0, width - len(old)), fill, old.dtype)])
-
-
-def _ends_of(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, least and largest item at every position; NaN is the largest.
-
-    Where all items are null, the least is above the largest.
-    """
-    items = lists.flatten()
-    values = items.to_numpy(zero_copy_only=False)
-    present = items.is_valid().to_numpy(zero_copy_only=False)
-    widths = pc.list_value_length(lists).drop_null().to_numpy()
-    width = int(widths.max(initial=0))
-    low, high = np.where(present, values, np.inf), np.where(present, values, -np.inf)
-    if len(widths) and widths.min() == width:
-        shape = (len(widths), width)
-        return (
-            np.full(width, len(widths)),
-            np.fmin.reduce(low.reshape(shape), axis=0),
-            np.maximum.reduce(high.reshape(shape), axis=0),
-        )
-    at = np.arange(len(values)) - np.repeat(np.cumsum(widths) - widths, widths)
-    least, most = np.full(width, np.inf), np.full(width, -np.inf)
-    np.fmin.at(least, at, low)
-    np.maximum.at(most, at, high)
-    return np.bincount(at, minlength=width), least, most
-
-
-class _Parts:
-    """Sums over the rows seen so far."""
-
-    def __init__(self):
-        self.n = self.n_pos = self.bad = 0
-        self.sizes, self.lo, self.hi = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-
-    def add(self, n: int, n_pos: int, bad: int, sizes, lo, hi) -> None:
-        width = max(len(self.sizes), len(sizes))
-        self.n, self.n_pos, self.bad = self.n + n, self.n_pos + n_pos, self.bad + bad
-        self.sizes = _wider(self.sizes, width, 0) + _wider(np.asarray(sizes, np.int64), width, 0)
-        self.lo = np.fmin(_wider(self.lo, width, np.inf), _wider(lo, width, np.inf))
-        self.hi = np.maximum(_wider(self.hi, width, -np.inf), _wider(hi, width, -np.inf))
-
-    def row(self, bucket: int) -> pa.Table:
-        one = lambda x, kind: pa.array([x.tolist()], pa.list_(kind))
-        return pa.table(
-            {
-                "bucket": pa.array([bucket], pa.int32()),
-                "n": [self.n],
-                "n_pos": [self.n_pos],
-                "bad": [self.bad],
-                "sizes": one(self.sizes, pa.int64()),
-                "lo": one(self.lo, pa.float64()),
-                "hi": one(self.hi, pa.float64()),
-            }
-        )
-
-
-def _task_parts(batches):
-    """One row for all rows (vec, positive) of a task."""
-    from pyspark import TaskContext
-
-    seen = _Parts()
-    for batch in batches:
-        vec = batch.column("vec")
-        sizes, lo, hi = _ends_of(vec)
-        items = vec.flatten()
-        finite = pc.sum(pc.fill_null(pc.is_finite(items), False)).as_py() or 0
-        positive = pc.sum(pc.fill_null(batch.column("positive"), False)).as_py() or 0
-        seen.add(batch.num_rows, positive, len(items) - finite + vec.null_count, sizes, lo, hi)
-    yield from seen.row(TaskContext.get().partitionId() % MERGERS).to_batches()
-
-
-def _merged(rows: pa.Table) -> _Parts:
-    seen = _Parts()
-    for r in rows.to_pylist():
-        seen.add(r["n"], r["n_pos"], r["bad"], r["sizes"], np.array(r["lo"], float), np.array(r["hi"], float))
-    return seen
-
-
 def _vector_parts(df: DataFrame, f: Features, positive: Column) -> DataFrame:
-    """Partial sums over a vector column, at most ``MERGERS`` rows."""
+    """Partial sums over a vector column, at most ``R.MERGERS`` rows."""
 
     def merge(rows: pa.Table) -> pa.Table:
-        return _merged(rows).row(rows["bucket"][0].as_py())
+        return R.merged(rows).row(rows["bucket"][0].as_py())
 
-    tasks = df.select(f.vector.alias("vec"), positive.alias("positive")).mapInArrow(_task_parts, _PARTS)
-    return tasks.groupBy("bucket").applyInArrow(merge, _PARTS)
+    tasks = df.select(f.vector.alias("vec"), positive.alias("positive")).mapInArrow(R.task_parts, R.PARTS)
+    return tasks.groupBy("bucket").applyInArrow(merge, R.PARTS)
 
 
 def summarize(df: DataFrame, f: Features, positive: Column) -> Summary:
@@ -179,7 +94,7 @@ def summarize(df: DataFrame, f: Features, positive: Column) -> Summary:
         ).first()
         ends = [tuple(row[f"{name}_{j}"] for j in range(len(f.columns))) for name in ("min", "max")]
         return Summary(row.num_all, row.num_pos, row.num_bad, Ranges(*ends))
-    seen = _merged(_vector_parts(df, f, positive).toArrow())
+    seen = R.merged(_vector_parts(df, f, positive).toArrow())
     uneven = int((seen.sizes != seen.sizes.max(initial=0)).sum())
     some = (~(seen.lo > seen.hi)).tolist()
     ends = [tuple(float(x) if k else None for x, k in zip(e, some, strict=True)) for e in (seen.lo, seen.hi)]
@@ -193,7 +108,7 @@ def minmax_fit(df: DataFrame, features: str | Sequence[str]) -> DataFrame:
         name = f.columns[0]
 
         def by_position(rows: pa.Table) -> pa.Table:
-            seen = _merged(rows)
+            seen = R.merged(rows)
             some = ~(seen.lo > seen.hi)
             return pa.table(
                 {
