@@ -17,7 +17,7 @@ from rebalance.operators.profile import (
     check_plan,
     is_minority,
 )
-from rebalance.operators.ranking import with_row_id
+from rebalance.operators.ranking import global_rank, with_row_id
 from rebalance.operators.scaling import (
     Features,
     scaled_vector,
@@ -49,18 +49,28 @@ def allocate_copies(
 
     Every seed gets ``num_syn`` divided by the number of seeds; the remainder goes, one
     each, to the seeds with the lowest draws. The seeds are counted here; a ``num_pos``
-    that says otherwise is refused, and so is a number to create without seeds.
+    that says otherwise is refused, and so is a number to create without seeds. Seeds that
+    share an id share its draw; if just some of them are to get one copy more, any do.
     """
-    return seeds.withColumn("copies", _copies(seeds, num_syn, num_pos, seed, id_col))
+    copies = _copies(seeds, num_syn, num_pos, seed, id_col)
+    if copies is None:
+        told_apart = global_rank(seeds, id_col, rank="_row")
+        copies = _copies(told_apart, num_syn, num_pos, seed, id_col, "_row")
+        return told_apart.withColumn("copies", copies).drop("_row")
+    return seeds.withColumn("copies", copies)
 
 
-def _copies(seeds: DataFrame, num_syn: int, num_pos: int | None, seed: int, id_col: str) -> Column:
-    """See ``allocate_copies``.
+def _copies(
+    seeds: DataFrame, num_syn: int, num_pos: int | None, seed: int, id_col: str, row: str | None = None
+) -> Column | None:
+    """See ``allocate_copies``. ``row`` numbers the seeds in the order of their ids, if these repeat.
 
     A histogram of the draws tells in which bucket the last seed with one copy more
     lies; that bucket alone, a 65536th of the rows, is sorted to find it. What is left
-    is a comparison with two literals, and no row has to move.
+    is a comparison with two literals, and no row has to move. None where the last seed
+    shares its id with the next one, so that only a ``row`` tells them apart.
     """
+    place = row or id_col
     draw = quota_draw(seed, id_col)
     bucket = F.floor(draw / QUOTA_SHIFT).cast("int")
     counts = seeds.groupBy(bucket.alias("b")).count().orderBy("b").collect()
@@ -82,23 +92,27 @@ def _copies(seeds: DataFrame, num_syn: int, num_pos: int | None, seed: int, id_c
         before += row["count"]
     last = (
         seeds.where(bucket == row.b)
-        .select(draw.alias("d"), F.col(id_col).alias("i"))
+        .select(draw.alias("d"), F.col(place).alias("i"))
         .orderBy("d", "i")
         .offset(extra - before - 1)
-        .limit(1)
-        .first()
+        .limit(2)
+        .collect()
     )
-    more = (draw < last.d) | ((draw == last.d) & (F.col(id_col) <= F.lit(last.i)))
+    if len(last) > 1 and last[0] == last[1]:
+        return None
+    more = (draw < last[0].d) | ((draw == last[0].d) & (F.col(place) <= F.lit(last[0].i)))
     return copies + F.when(more, 1).otherwise(0)
 
 
-def pick_neighbor(lists: DataFrame, seed: int = SEED, nbrs: str = "nbrs") -> DataFrame:
+def pick_neighbor(lists: DataFrame, seed: int = SEED, nbrs: str = "nbrs", nth: str | None = None) -> DataFrame:
     """Draw, for every (id, copy), one neighbour and the gap to walk towards it.
 
     ``nbrs`` is the neighbour list of the seed in rank order. A shorter list is
-    drawn from as it is, an empty one gives a null neighbour.
+    drawn from as it is, an empty one gives a null neighbour. ``nth`` tells seeds that
+    share an id apart; where it is null, the draws are those of an id of its own.
     """
-    drawn = lists.withColumn("_hex", draws.digest(seed, "copy", F.col("id"), F.col("copy")))
+    keys = [F.col(c) for c in ("id", "copy", nth) if c]
+    drawn = lists.withColumn("_hex", draws.digest(seed, "copy", *keys))
     n = F.when(F.size(nbrs) > 0, F.size(nbrs))
     return (
         drawn.withColumn("nbr_rank", (draws.draw32(F.col("_hex")) % n + 1).cast("int"))
@@ -125,6 +139,13 @@ def _copied(counted: DataFrame, num_syn: int) -> DataFrame:
     return dealt.withColumn("copy", F.explode(F.sequence("first", last))).drop("first")
 
 
+def _numbered(seeds: DataFrame) -> DataFrame:
+    """Seeds (id, vec) with a ``row`` number in the order of (id, vec), and ``nth``: null for the first of an id."""
+    rows = stage(global_rank(seeds, "id", "vec", rank="row"), "numbered")
+    firsts = rows.groupBy("id").agg(F.min("row").alias("first"))
+    return rows.join(firsts, "id").select("id", "vec", "row", F.nullif(F.col("row") - F.col("first"), F.lit(0)).alias("nth"))
+
+
 def _as_rows(drawn: DataFrame, f: Features, ranges, label: str, label_value: Column) -> DataFrame:
     """Interpolate, put back into original units, and name the columns."""
     other = F.coalesce("nbr_vec", "vec")
@@ -157,13 +178,16 @@ def smote(
     metric: str = "euclidean",
     blocks: int | None = None,
     num_partitions: int | None = None,
+    repeated_ids: bool = False,
 ) -> DataFrame:
     """The synthetic minority rows that bring the minority to its target.
 
     Returns (seed_id, copy, nbr_id, gap, features..., label). Features are
     scaled by the ranges of all rows for the neighbour search and returned in
     original units. ``id_col`` must be unique among the minority rows; without
-    one, rows are numbered for this call.
+    one, rows are numbered for this call. With ``repeated_ids`` rows may share an id, and
+    each is a seed of its own, with copies numbered from 1; an id held once gives the same
+    rows as without.
 
     The search returns ids; neighbours are drawn first, and the vectors of those drawn are
     looked up by one equi-join, which Spark does by broadcast where the minority is small.
@@ -193,16 +217,38 @@ def smote(
         rows = rows.repartition(num_partitions, *(["id"] if id_col else []))
     if id_col:
         seeds = stage(rows, "seeds")
-        if not seeds.groupBy("id").count().where("count > 1 or id is null").isEmpty():
+        held = seeds.groupBy("id").count().where("count > 1 or id is null")
+        if repeated_ids:
+            numbers = held.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id").isNull()).alias("n_null")).first()
+            if numbers.n_null:
+                raise ValueError(f"{id_col} must not be null among the minority rows")
+            repeated_ids = numbers.n > 0
+        elif not held.isEmpty():
             raise ValueError(f"{id_col} must be unique and not null among the minority rows")
     else:
+        repeated_ids = False
         seeds = with_row_id(rows)
     if plan.num_syn == 0:
         none = seeds.limit(0).selectExpr("id", "vec", "1L as copy", "0D as gap", "id as nbr_id", "vec as nbr_vec")
         return _as_rows(none, f, ranges, label, label_value)
+    if repeated_ids:
+        found = _by_row(stage(_numbered(seeds), "seeds"), plan, k, metric, blocks, seed)
+        return _as_rows(found, f, ranges, label, label_value)
     lists = neighbor_lists(seeds, None, k, metric, blocks=blocks, written=True)
     counted = lists.withColumn("copies", _copies(seeds, plan.num_syn, plan.num_pos, seed, "id"))
     drawn = pick_neighbor(_copied(counted, plan.num_syn), seed).select("id", "vec", "copy", "gap", "nbr.nbr_id")
     vectors = seeds.select(F.col("id").alias("of"), F.col("vec").alias("nbr_vec"))
     found = drawn.join(vectors, F.col("nbr_id") == F.col("of"), "left")
     return _as_rows(found, f, ranges, label, label_value)
+
+
+def _by_row(seeds: DataFrame, plan, k: int, metric: str, blocks: int | None, seed: int) -> DataFrame:
+    """The drawn copies of ``_numbered`` seeds with the neighbours' ids and vectors; seeds are searched by row."""
+    by_row = seeds.select(F.col("row").alias("id"), "vec")
+    lists = neighbor_lists(by_row, None, k, metric, blocks=blocks, written=True)
+    named = lists.select(F.col("id").alias("row"), "nbrs").join(seeds, "row")
+    counted = named.withColumn("copies", _copies(seeds, plan.num_syn, plan.num_pos, seed, "id", "row"))
+    drawn = pick_neighbor(_copied(counted, plan.num_syn), seed, nth="nth")
+    drawn = drawn.select("id", "vec", "copy", "gap", F.col("nbr.nbr_id").alias("nbr_row"))
+    of = seeds.select(F.col("row").alias("of"), F.col("id").alias("nbr_id"), F.col("vec").alias("nbr_vec"))
+    return drawn.join(of, F.col("nbr_row") == F.col("of"), "left")

@@ -159,3 +159,41 @@ def test_staged_tables_can_be_dropped(spark):
     assert os.path.isdir(folder)
     staging.drop_staged(spark)
     assert not os.path.exists(folder)
+
+
+@pytest.mark.parametrize("over_pct", [60, 200])
+def test_rows_that_share_an_id_are_seeds_of_their_own(spark, over_pct):
+    df = table(spark).withColumn("id", F.expr("case when id between 10 and 19 then 10 else id end"))
+    made = synth.smote(df, "c", "p", FEATURES, "id", k=4, over_pct=over_pct, repeated_ids=True).collect()
+    assert len(made) == over_pct - 30
+    ranges = scaling.collect_ranges(df, FEATURES)
+    scaled = scaling.minmax_transform(df, FEATURES, ranges).where("c = 'p'").collect()
+    pairs = set()
+    for r in scaled:
+        others = sorted((abs(r.x - t.x) ** 2 + abs(r.y - t.y) ** 2, i) for i, t in enumerate(scaled) if t is not r)
+        pairs |= {(r.id, scaled[i].id) for _, i in others[:4]}
+    assert {(r.seed_id, r.nbr_id) for r in made} <= pairs
+    copies = {}
+    for r in made:
+        copies.setdefault((r.seed_id, r.copy), []).append((r.x, r.y))
+    full = (over_pct - 30) // 30
+    for copy in range(1, full + 1):
+        assert len(set(copies[10, copy])) == 10 and len(copies[9, copy]) == 1
+    again = synth.smote(df.repartition(7), "c", "p", FEATURES, "id", k=4, over_pct=over_pct, repeated_ids=True)
+    assert sorted(again.collect()) == sorted(made)
+    with pytest.raises(ValueError, match="null"):
+        synth.smote(df.withColumn("id", F.expr("nullif(id, 3)")), "c", "p", FEATURES, "id", repeated_ids=True)
+
+
+def test_unique_ids_give_the_same_rows_where_they_might_repeat(spark):
+    df = table(spark)
+    want = sorted(synth.smote(df, "c", "p", FEATURES, "id").collect())
+    assert sorted(synth.smote(df, "c", "p", FEATURES, "id", repeated_ids=True).collect()) == want
+
+
+@pytest.mark.parametrize("num_syn", [3, 13, 20, 27])
+def test_copies_of_seeds_that_share_an_id_add_up(spark, num_syn):
+    seeds = spark.range(20).select((F.col("id") % 2).alias("id"))
+    made = synth.allocate_copies(seeds, num_syn)
+    assert made.columns == ["id", "copies"]
+    assert made.count() == 20 and made.agg(F.sum("copies")).first()[0] == num_syn
