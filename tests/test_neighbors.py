@@ -191,3 +191,26 @@ def test_split_tree_keeps_equal_rows_together():
     leaf = blocks.leaf_of(tree, x)
     assert len(set(leaf[:70].tolist())) == 1
     assert leaf.max() < 8
+
+
+@pytest.mark.parametrize("exclude_zero", [True, False])
+@pytest.mark.parametrize("dims", [5, 64, 3000])
+def test_manhattan_of_wide_vectors(dims, exclude_zero):
+    """Coarse steps screen the pairs; copies, close ties and one far value."""
+    rng = np.random.default_rng(dims)
+    c = rng.normal(size=(1500 if dims < 100 else 60, dims))
+    c[10:30] = np.round(c[10:30], 1)
+    c[30:40] = c[10]
+    c[40:50] = c[10]
+    c[40:50, 0] += np.arange(10) * 1e-12
+    c[55] *= 1e4
+    q = np.concatenate([c[:60], rng.normal(size=(40, dims))])
+    ids = rng.permutation(len(c)).astype(np.int64)
+    rows, cols, dist = blocks.nearest(q, c, ids, 4, "manhattan", exclude_zero)
+    want = brute(dict(enumerate(q)), dict(zip(ids.tolist(), c)), 4, "manhattan", exclude_zero)
+    got = {}
+    for r, i, d in zip(rows.tolist(), ids[cols].tolist(), dist.tolist()):
+        got.setdefault(r, []).append((i, d))
+    assert got == want
+    if dims == 64:
+        assert blocks._coarse(q[:55], c[:50]) is not None
