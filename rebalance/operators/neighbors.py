@@ -401,13 +401,14 @@ def neighbor_lists(
     if corpus is not None:
         firsts, of_queries = _distinct_points(asking, 1, "queries")
         n_firsts = of_queries["n"]
-    if blocks is None:
-        cells = max(1, min(math.ceil(n / block_rows), TREE_VALUES // width))
-        if cells > 1 and width <= 16:
-            # small cells prune well where dimensions are few
-            cells = min(4 * cells, TREE_VALUES // width)
-    else:
-        cells = min(blocks, max(1, TREE_VALUES // width), n)
+    most = max(1, TREE_VALUES // width)
+    cells = min(math.ceil(n / block_rows), most)
+    if cells > 1 and width <= 16:
+        # small cells prune well where dimensions are few
+        cells = min(4 * cells, most)
+    if blocks is not None:
+        # fewer cells than the size asks for would each meet a growing part of the rows
+        cells = min(max(blocks, cells), most, n)
     lists = _search_lists(firsts, n_firsts, points, n, width, cells, search)
     if n_rows == n_firsts:
         return lists.select("id", "vec", "nbrs")  # no vector occurs twice
@@ -437,7 +438,7 @@ def knn_join(
     Returns (id, rank, nbr_id, dist[, nbr_vec]), ranked by distance, then id.
     ``exclude_zero`` leaves out rows at distance zero, so a row is neither its
     own neighbour nor that of an exact copy. ``blocks`` asks for a number of
-    space cells; the result does not depend on it.
+    space cells, of which a large corpus gets more; the result does not depend on it.
     """
     return _long(
         neighbor_lists(

@@ -214,3 +214,16 @@ def test_manhattan_of_wide_vectors(dims, exclude_zero):
     assert got == want
     if dims == 64:
         assert blocks._coarse(q[:55], c[:50]) is not None
+
+
+@pytest.mark.parametrize("copies", [1, 3])
+def test_few_blocks_asked_of_many_rows(spark, monkeypatch, copies):
+    """A corpus gets the cells that its size asks for, whatever the number of blocks."""
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 32)
+    asked = []
+    cut = neighbors._cut_into_cells
+    monkeypatch.setattr(neighbors, "_cut_into_cells", lambda c, n, w, cells: asked.append(cells) or cut(c, n, w, cells))
+    p = points(320 * copies, 2, 8)
+    got = lists(neighbors.knn_self(frame(spark, p), 3, blocks=2))
+    assert same(got, brute(p, p, 3))
+    assert asked == [40 * copies]
