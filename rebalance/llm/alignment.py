@@ -19,11 +19,13 @@ documents are joined by broadcast, of which there are fewer than a thousand.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import os
 import re
-from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +70,14 @@ class Aligner:
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         whole = any(BLANK in self.b.id_to_piece(i).lstrip(BLANK) for i in range(self.b.get_piece_size()))
         self.cut = None if whole else CUT
+        size_a = max(self.a_bytes, default=-1) + 1
+        self.a_sizes, self.b_sizes = np.zeros(size_a, np.int64), np.array([len(x) for x in self.b_bytes], np.int64)
+        for i, token in self.a_bytes.items():
+            self.a_sizes[i] = len(token)
+        # how an id is written: within its side of a group, at the end of A's side, at the end of the group
+        a_names, b_names = [str(i) for i in range(size_a)], [str(i) for i in range(len(self.b_bytes))]
+        self.names = [x + end for names, ends in ((a_names, ",|"), (b_names, ",;")) for end in ends for x in names]
+        self.name_sizes = np.array([len(x) for x in self.names], np.int64)
         self.known: tuple[dict[str, tuple | None], dict[str, tuple | None]] = ({}, {})
         self.chars = 0
 
@@ -81,42 +91,77 @@ class Aligner:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace(BLANK, " ").encode()
 
-    def segments(self, text: str) -> list[str]:
-        """The parts of a blank and ``text``."""
-        parts = self.cut.split(text) if self.cut else [text]
-        return [" " + p for p in parts]
+    def parts(self, text: str) -> list[str]:
+        """The segments of a blank and ``text``, each without its first blank."""
+        return self.cut.split(text) if self.cut else [text]
 
-    def align(self, a: list[int], b: list[int], raw: bytes) -> tuple | None:
-        """(n_a, n_b, n_groups, groups, links): links as int64 ``a * size + b``; None if bytes differ."""
+    def align(self, theirs: list[list[int]], pieces: list[list[int]], raws: list[bytes]) -> list[tuple | None]:
+        """(n_a, n_b, n_groups, groups, links) of every segment from its ids and bytes.
+
+        Links are int64 ``a * size + b``, as bytes; None where the bytes do not come back.
+        The tokens of all segments are laid in a row: cuts are the ends that both kinds
+        share, and every stretch between neighbouring ends is a link.
+        """
+        out: list[tuple | None] = [None] * len(raws)
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (theirs, pieces))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((theirs, n_a), (pieces, n_b)))
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        whole = (n_a > 0) & (n_b > 0) & (sizes > 0)
+        for ids, n, lengths in ((a, n_a, self.a_sizes), (b, n_b, self.b_sizes)):
+            ends = np.concatenate([[0], np.cumsum(lengths[ids])])[np.concatenate([[0], np.cumsum(n)])]
+            whole &= np.diff(ends) == sizes
+        raw = b"".join(raws)
+        if not (
+            whole.all()
+            and self.a_sizes[a].all()
+            and self.b_sizes[b].all()
+            and b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw
+            and b"".join(map(self.b_bytes.__getitem__, b.tolist())) == raw
+        ):
+            # some do not come back: the others once more
+            good = [i for i, (x, y, r) in enumerate(zip(theirs, pieces, raws)) if r and self._back(x, y, r)]
+            if len(good) < len(raws):
+                found = self.align([theirs[i] for i in good], [pieces[i] for i in good], [raws[i] for i in good])
+                for i, x in zip(good, found):
+                    out[i] = x
+                return out
+        if not len(raws):
+            return out
+        both = np.concatenate([np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])])
+        order = np.argsort(both, kind="stable")  # two sorted runs
+        both = both[order]
+        new = np.ones(len(both), bool)
+        new[1:] = both[1:] != both[:-1]
+        every, slot = both[new], np.cumsum(new) - 1
+        # the places of both kinds of ends among all ends
+        a_at, b_at = slot[order < len(a)], slot[order >= len(a)]
+        ends_a, ends_b = np.zeros(len(every), bool), np.zeros(len(every), bool)
+        ends_a[a_at], ends_b[b_at] = True, True
+        cut = ends_a & ends_b
+        codes = a[np.cumsum(ends_a) - ends_a] * len(self.b_bytes) + b[np.cumsum(ends_b) - ends_b]
+        n_links = np.searchsorted(every, np.cumsum(sizes), side="right")
+        links, link_cut = codes.tobytes(), (n_links * 8).tolist()
+        group = np.cumsum(cut)
+        group_cut = group[n_links - 1]
+        group -= cut
+        # the groups in writing: A's tokens of a group, then B's
+        a_last, b_last = cut[a_at], cut[b_at]
+        width = len(self.a_sizes)
+        name = np.empty(len(a) + len(b), np.int64)
+        b_before = np.concatenate([[0], np.flatnonzero(b_last) + 1])[group[a_at]]
+        a_before = (np.flatnonzero(a_last) + 1)[group[b_at]]
+        name[np.arange(len(a)) + b_before] = a + width * a_last
+        name[np.arange(len(b)) + a_before] = 2 * width + b + len(self.b_bytes) * b_last
+        written = "".join(map(self.names.__getitem__, name.tolist()))
+        text_cut = np.cumsum(self.name_sizes[name])[np.cumsum(n_a + n_b) - 1].tolist()
+        counts = zip(n_a.tolist(), n_b.tolist(), np.diff(group_cut, prepend=0).tolist())
+        spans = zip(counts, [0, *text_cut], text_cut, [0, *link_cut], link_cut)
+        return [(*n, written[t : u - 1], links[x:y]) for n, t, u, x, y in spans]
+
+    def _back(self, a: list[int], b: list[int], raw: bytes) -> bool:
+        """Whether both kinds of tokens, none of them empty, give the bytes."""
         a_text, b_text = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_text) != raw or b"".join(b_text) != raw:
-            return None
-        size = len(self.b_bytes)
-        if len(a) == 1 or len(b) == 1:
-            links = [a[0] * size + y for y in b] if len(a) == 1 else [x * size + b[0] for x in a]
-            return len(a), len(b), 1, f"{','.join(map(str, a))}|{','.join(map(str, b))}", array("q", links).tobytes()
-        groups, links = [], []
-        i = j = a_from = b_from = 0
-        a_end, b_end = len(a_text[0]), len(b_text[0])
-        while True:
-            links.append(a[i] * size + b[j])
-            if a_end == b_end:
-                i, j = i + 1, j + 1
-                if i - a_from == j - b_from == 1:
-                    groups.append(f"{a[a_from]}|{b[b_from]}")
-                else:
-                    groups.append(f"{','.join(map(str, a[a_from:i]))}|{','.join(map(str, b[b_from:j]))}")
-                if i == len(a):
-                    break
-                a_from, b_from = i, j
-                a_end, b_end = a_end + len(a_text[i]), b_end + len(b_text[j])
-            elif a_end < b_end:
-                i += 1
-                a_end += len(a_text[i])
-            else:
-                j += 1
-                b_end += len(b_text[j])
-        return len(a), len(b), len(groups), ";".join(groups), array("q", links).tobytes()
+        return all(a_text) and all(b_text) and b"".join(a_text) == raw == b"".join(b_text)
 
     def learn(self, distinct: list[str]) -> dict[str, tuple | None]:
         """The alignment of every segment; None for those whose bytes do not come back.
@@ -135,12 +180,13 @@ class Aligner:
             else:
                 fresh.append(segment)
         if fresh:
-            theirs = self.a.encode_batch(fresh, add_special_tokens=False)
+            # without offsets, which nothing here reads
+            theirs = [x.ids for x in self.a.encode_batch_fast(fresh, add_special_tokens=False)]
             pieces = self.b.encode([p[1:] for p in fresh], num_threads=1)
-            for segment, x, b in zip(fresh, theirs, pieces):
-                a = x.ids
-                out[segment] = young[segment] = self.align(a, b, segment.encode()) if a and b else None
-                self.chars += len(segment)
+            found = dict(zip(fresh, self.align(theirs, pieces, [p.encode() for p in fresh])))
+            young.update(found)
+            out.update(found)
+            self.chars += sum(map(len, fresh))
         if self.chars > REMEMBERED_CHARS:
             self.known, self.chars = ({}, young), 0
         return out
@@ -158,11 +204,17 @@ def _digest(text: str) -> str:
 
 def _aligned(a_file: str, b_file: str):
     def block(aligner: Aligner, number: int, texts: list[str], copies: np.ndarray) -> pa.RecordBatch:
-        cut = [aligner.segments(t) if t else [] for t in texts]
-        distinct = dict.fromkeys(p for parts in cut for p in parts)
-        learnt = aligner.learn(list(distinct))
-        place = {p: i for i, p in enumerate(distinct)}
+        place: defaultdict[str, int] = defaultdict()
+        place.default_factory = place.__len__  # a new part gets the next number
+        cut = []
+        for t in texts:
+            parts = aligner.parts(t) if t else []
+            cut.append(np.fromiter(map(place.__getitem__, parts), np.int64, len(parts)))
+        distinct = [" " + p for p in place]
+        del place
+        learnt = aligner.learn(distinct)
         good = [learnt[p] for p in distinct]
+        del learnt, distinct
         segments = [x or (0, 0, 0, "", b"") for x in good]
         counts = np.array([x[:3] + (len(x[4]) // 8,) for x in segments], np.int64).reshape(-1, 4)
         strings = [x[3] for x in segments]
@@ -172,9 +224,8 @@ def _aligned(a_file: str, b_file: str):
         bad = np.array([x is None for x in good], bool)
         sums, hashes, own_pairs, times, sizes = [], [], [], [], []
         weight = np.zeros(len(codes), np.int64)
-        for parts, n in zip(cut, copies.tolist()):
-            at = np.fromiter(map(place.__getitem__, parts), np.int64, len(parts))
-            if not parts or bad[at].any():
+        for at, n in zip(cut, copies.tolist()):
+            if not len(at) or bad[at].any():
                 sums.append((0, 0, 0, 0))
                 hashes.append("")
                 sizes.append(0)
@@ -215,7 +266,12 @@ def _aligned(a_file: str, b_file: str):
         for batch in batches:
             for part in row_slices(batch, "text", SLICE_BYTES):
                 copies = part.column("copies").to_numpy(zero_copy_only=False)
-                yield block(aligner, serial, part.column("text").to_pylist(), copies)
+                gc.disable()  # a block makes a million small objects and no cycles
+                try:
+                    out = block(aligner, serial, part.column("text").to_pylist(), copies)
+                finally:
+                    gc.enable()
+                yield out
                 serial += 1
 
     return run

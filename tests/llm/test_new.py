@@ -250,3 +250,21 @@ def test_op11_never_learns_from_held_out_rows(spark):
     assert len(got) == 200
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
     assert re.match(r"^\[\('doc_id', 'bigint'\), \('held_out', 'boolean'\)", str(queries.op11_toxicity(spark, SF).dtypes))
+
+
+def test_segments_are_aligned_together_and_apart():
+    """Segments whose bytes do not come back are left out; the others are as if alone."""
+    aligner = alignment.Aligner(*FILES)
+    segments = [" one", " Überzeugung", " x1,2|3;", " 　a", " don't", " 日本語", " a\tb"]
+    a = [aligner.a.encode(s, add_special_tokens=False).ids for s in segments]
+    b = [aligner.b.encode(s[1:]) for s in segments]
+    raws = [s.encode() for s in segments]
+    found = aligner.align(a, b, raws)
+    assert found == [aligner.align([x], [y], [r])[0] for x, y, r in zip(a, b, raws)]
+    for s, one in zip(segments, found):
+        n_a, n_b, n_groups, groups, links = one or (0, 0, 0, "", b"")
+        want = plain_alignment(aligner, s[1:])
+        assert (one is None) == (not want or not want[0])
+        if one:
+            assert groups.count(";") == n_groups - 1 and (n_a, n_b) == (len(a[segments.index(s)]), len(b[segments.index(s)]))
+    assert aligner.align([[], a[0]], [[], b[0]], [b"", raws[0]]) == [None, found[0]]
