@@ -95,9 +95,16 @@ def staging_run(spark: SparkSession) -> Iterator[str]:
         _delete(spark, folder)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return the written table."""
-    path = new_path(df.sparkSession, name)
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table staged at ``path`` that nothing reads any more."""
+    if path in _written:
+        _written.remove(path)
+    _delete(spark, path)
+
+
+def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` once, to ``path`` if that is given, and return the written table."""
+    path = path or new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -243,6 +243,109 @@ def test_katz_against_plain_version(spark):
         assert x.score == pytest.approx(want, rel=1e-9) and x.base_score == pytest.approx(base, rel=1e-9)
 
 
+def plain_katz_of_order(texts, train, order):
+    """(chance of w after a history, words, histories) by recursion over dictionaries."""
+    from collections import Counter
+
+    sequences = [Counter() for _ in range(order)]
+    for text, learnt in zip(texts, train):
+        words = [b""] * (order - 1) + [*(text or "").encode().lower().split(), b""]
+        for i in range(order - 1, len(words) if learnt else 0):
+            for n in range(order):
+                sequences[n][tuple(words[i - n : i + 1])] += 1
+    followers = {}
+    for table in sequences[1:]:
+        for (*h, w), c in table.items():
+            followers.setdefault(tuple(h), {})[w] = c
+    ratios = [discounts([sum(c == r for c in table.values()) for r in range(1, 7)]) for table in sequences]
+    cut = lambda n, c: c * (ratios[n][c] if c < len(ratios[n]) else 1.0)
+    single, weights = sequences[0], {}
+    total, kept = sum(single.values()), sum(cut(0, c) for c in single.values())
+    unknown = 1 - kept / total
+
+    def chance(h, w):
+        if not h:
+            return (1 - unknown) / kept * cut(0, single[w,]) if (w,) in single else unknown
+        if h not in followers:
+            return chance(h[1:], w)
+        own = followers[h]
+        c = sum(own.values())
+        if h not in weights:
+            left = 1 - sum(cut(len(h), x) for x in own.values()) / c
+            flat = left < 1e-12
+            left = 1 / (c + 1) if flat else left
+            weights[h] = (c / (c + 1) if flat else 1.0, left / (1 - sum(chance(h[1:], x) for x in own)))
+        size, alpha = weights[h]
+        return cut(len(h), own[w]) / c * size if w in own else alpha * chance(h[1:], w)
+
+    return chance, [w for (w,) in single], followers
+
+
+@pytest.mark.parametrize("order, bucket_grams", [(3, 1_000_000), (3, 40), (4, 300), (2, 40)])
+def test_katz_of_order_against_plain_recursion(spark, order, bucket_grams):
+    from rebalance.llm import katz
+
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choice(words[: 3 + i % 28], 1 + i % 23))) for i in range(150)]
+    # seen sequences that recur, repeated and missing ids, empty texts, words that only held-out texts have
+    rows += [(i, "a b a B c a b") for i in range(200, 230)] + [(7, "x y z x y"), (7, None), (None, ""), (8, " "), (5, "x q r x y z")]
+    rows += [(j, "only z here a b") for j in range(300, 320)] + [(j, f"new{j} a b only x") for j in range(400, 440) if katz.held_out_seventh(j)]
+    train = [not katz.held_out_seventh(i) for i, _ in rows]
+    assert 0 < sum(train) < len(train)
+    chance, single, followers = plain_katz_of_order([t for _, t in rows], train, order)
+    assert any(len(h) == order - 1 for h in followers)
+    for h in list(followers)[::9]:
+        assert sum(chance(h, w) for w in single) + chance(h, b"never seen\n") == pytest.approx(1, abs=1e-9)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = katz.score(docs, katz.held_out_seventh, order=order, bucket_grams=bucket_grams).collect()
+    want = []
+    for i, text in rows:
+        own = [b""] * (order - 1) + [*(text or "").encode().lower().split(), b""]
+        score = sum(np.log10(chance(tuple(own[k - order + 1 : k]), own[k])) for k in range(order - 1, len(own)))
+        want.append((i is None, i or 0, len(own) - order + 1, score))
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score) for r in got)
+    for x, y in zip(got, sorted(want), strict=True):
+        assert x[:3] == y[:3] and x[3] == pytest.approx(y[3], rel=1e-9)
+
+
+def test_word_numbers_packing_and_tuples():
+    import pyarrow as pa
+
+    from rebalance.llm.katz import pack, tuple_numbers, unpack, word_numbers
+
+    rng = random.Random(3)
+    for k in (0, 1, 200):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choices("aAbÉé \t\n\x0b\r\x1c\x85\u2003\0", k=rng.randrange(12))) for _ in range(k)]
+        words, number, sizes = word_numbers(pa.array(["cut off", *texts], pa.string()).slice(1))
+        want = [[*(t or "").encode().lower().split(), b""] for t in texts]
+        assert [words[i] for i in number] == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+        assert len(set(words)) == len(words) and b"" in words
+    draw = np.random.default_rng(1)
+    for n in (0, 1, 700):
+        arrays = [draw.integers(-(2**62), 2**62, n), draw.integers(-1, 100, n), draw.random(n), draw.integers(0, 2**32, n).astype("u4")]
+        back = unpack(pack(*arrays), "i8", "i8", "f8", "u4")
+        assert all(x.dtype == y.dtype and x.tolist() == y.tolist() and y.flags.writeable for x, y in zip(arrays, back))
+    wide = [draw.integers(-1, 5, 600) * 2**40 for _ in range(3)]  # more than 63 bits in all
+    wide = [np.maximum(c, -1) for c in wide]
+    number, tuples = tuple_numbers(*wide), list(zip(*(c.tolist() for c in wide)))
+    assert [tuples[i] for i in np.argsort(number, kind="stable")] == sorted(tuples) and len(set(number.tolist())) == len(set(tuples))
+
+
+def test_op5_uses_triples(spark, tmp_path):
+    from rebalance.llm import katz
+
+    rows = [(i, "a b c d") for i in range(20)] + [(i, "x b e f") for i in range(20, 40)] + [(i, f"g{i % 9} h{i % 4} b") for i in range(40, 90)]
+    rows += [(900, "a b c d"), (901, "a b e f")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.score for r in queries.op5_katz_lm(spark, str(tmp_path)).collect()}
+    chance, _, _ = plain_katz_of_order([t for _, t in rows], [not katz.held_out_seventh(i) for i, _ in rows], 3)
+    for i, text in rows:
+        own = [b"", b"", *text.encode().split(), b""]
+        assert got[i] == pytest.approx(sum(np.log10(chance((a, b), w)) for a, b, w in zip(own, own[1:], own[2:])), rel=1e-9)
+    assert got[901] < got[900]  # word pairs alone give both the same
+
+
 def test_near_duplicates_by_row_not_by_id(spark):
     a = " ".join(f"w{i}" for i in range(200))
     near, other = a.replace("w100 ", ""), " ".join(f"v{i}" for i in range(50))
