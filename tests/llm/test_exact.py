@@ -5,9 +5,10 @@ import random
 
 import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
-from rebalance.llm import decontaminate, html_text, neardup, queries
+from rebalance.llm import decontaminate, html_text, neardup, pieces, queries
 from rebalance.llm.katz import discounts
 from rebalance.llm.pieces import Encoder
 
@@ -60,6 +61,82 @@ def test_pieces_equal_the_library():
     assert not encoder.differ
 
 
+class Asked:
+    """The library, with a count of the texts it encodes; ``odd`` is a word it encodes otherwise."""
+
+    def __init__(self, library, odd=None):
+        self.library, self.odd, self.texts = library, odd, 0
+
+    def __getattr__(self, name):
+        return getattr(self.library, name)
+
+    def encode(self, texts):
+        if not isinstance(texts, str):
+            return [self.encode(text) for text in texts]
+        self.texts += 1
+        if self.odd and self.odd in texts:
+            return [5] if texts == self.odd else [5, *self.library.encode(texts)]
+        return self.library.encode(texts)
+
+
+def test_new_segments_are_merged_and_checked_together():
+    encoder = Encoder(queries.tokenizer())
+    encoder.library = library = Asked(encoder.library)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeinorstéß.,\n😀") for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(300)]
+    got = encoder.encode(texts)
+    assert library.texts < len(words) / 10  # one by one they cost most of the time
+    assert got == [(ids, True) for ids in library.library.encode(texts)]
+    asked = library.texts
+    assert encoder.encode(texts) == got and library.texts == asked
+    assert pieces.encoder_of(queries.tokenizer(), True) is pieces.encoder_of(queries.tokenizer(), True)
+
+
+def test_the_word_of_the_library_counts():
+    encoder = Encoder(queries.tokenizer())
+    plain = encoder.library.encode
+    encoder.library = Asked(encoder.library, "zqx")
+    texts = ["first words here", "aa zqx bb", "", "last  words\nthere"]
+    want = [(plain(text), True) for text in texts]
+    want[1] = ([*plain("aa"), 5, *plain("bb")], False)
+    assert encoder.encode(texts) == want == encoder.encode(texts)
+    assert encoder.differ == {"▁zqx"}
+
+
+def test_remembered_segments_are_bounded_by_their_size(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 5000)
+    encoder = Encoder(queries.tokenizer())
+    rng = random.Random(9)
+    for n in range(60):
+        texts = ["the cat and " + " ".join("".join(rng.choices("abcdef", k=rng.choice([3, 9, 60]))) for _ in range(30)) for _ in range(2)]
+        assert [ids for ids, _ in encoder.encode(texts)] == encoder.library.encode(texts)
+        assert encoder.weight == sum(len(p) + pieces.EACH for p in encoder.place) <= 5000
+    assert {"▁the", "▁cat", "▁and"} <= encoder.place.keys()
+
+
+@pytest.mark.parametrize(
+    "options",
+    [
+        {"byte_fallback": False},
+        {"byte_fallback": True, "character_coverage": 0.98},
+        {"byte_fallback": False, "add_dummy_prefix": False, "remove_extra_whitespaces": False},
+        {"byte_fallback": False, "split_by_whitespace": False},
+    ],
+)
+def test_pieces_of_other_models(tmp_path, options):
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdeé漢") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    (tmp_path / "corpus").write_text("\n".join(" ".join(rng.choices(words, k=30)) for _ in range(200)))
+    sentencepiece.SentencePieceTrainer.train(
+        input=str(tmp_path / "corpus"), model_prefix=str(tmp_path / "m"), vocab_size=500, model_type="bpe", minloglevel=2, **options
+    )
+    encoder = Encoder(str(tmp_path / "m.model"))
+    texts = ["".join(rng.choice(" ▁  abcdeé漢😀\n") for _ in range(rng.randint(0, 90))) for _ in range(300)]
+    texts += [" ".join(rng.choices(words, k=20)) for _ in range(100)]
+    assert encoder.encode(texts) == [(ids, True) for ids in encoder.library.encode(texts)]
+
+
 def test_myers_and_pieces_find_edited_items():
     item = decontaminate.normalize("The quick brown fox, which jumps over 13 lazy dogs, runs away at dawn today!")
     matcher = decontaminate.Matcher([(5, item)], 0.06)
