@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from rebalance.llm.common import row_slices
 
 BLANK = "▁"
-REMEMBERED = 12 << 20  # characters of segments per Python worker, and EACH more for every segment
+REMEMBERED = 6 << 20  # characters of segments per Python worker, and EACH more for every segment
 EACH = 8
 FLAT = 48  # characters of a segment that shares a table with others
 WIDE = 4096  # segments of a table
