@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from rebalance.llm.common import row_slices
 
 BLANK = "▁"
-REMEMBERED = 6 << 20  # characters of segments per Python worker, and EACH more for every segment
+REMEMBERED = 3 << 20  # characters of segments per Python worker, and EACH more for every segment
 EACH = 8
 FLAT = 48  # characters of a segment that shares a table with others
 WIDE = 4096  # segments of a table
 CHECKED = 64  # segments that the library encodes at once, as one text
 NEVER = 1 << 62  # pairs that do not merge
 DEAD = -1
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10  # of text at once; the work on them takes some 50 times that
 
 
 def _ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -369,6 +369,8 @@ def _encoded(model_file: str, add_end: bool, check: bool, names: list[str]):
                 own = [part.column(c) for c in names]
                 added = [lists, pa.array(texts, pa.string()), pa.array(agree, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(own + added, names=[*names, "ids", "decoded", "agrees"])
+            # the worker lives on, idle or in other stages; Arrow would keep the room of what it has freed
+            pa.default_memory_pool().release_unused()
 
     return run
 

@@ -2,8 +2,11 @@
 
 import re
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -115,6 +118,23 @@ def test_remembered_segments_are_bounded_by_their_size(monkeypatch):
     assert {"▁the", "▁cat", "▁and"} <= encoder.place.keys()
 
 
+def test_a_worker_encodes_a_batch_in_little_memory():
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 11))) for _ in range(100_000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(800)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(800)), "text": texts})
+    library = pieces.encoder_of(queries.tokenizer(), False).library
+    run, got = pieces._encoded(queries.tokenizer(), False, False, ["doc_id"]), []
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    for part in run(iter([batch])):
+        got.append(pa.compute.sum(part.column("ids").flatten()).as_py())
+    most = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert sum(got) == sum(map(sum, library.encode(texts)))
+    assert most < 56 << 20  # two such workers share an executor with a heap that earlier stages have filled
+
+
 @pytest.mark.parametrize(
     "options",
     [
